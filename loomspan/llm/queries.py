@@ -1,8 +1,11 @@
 """Registered queries of this subpackage. SQL can express none of them whole; their tests hold them against brute force."""
 
 from loomspan.llm.html_extract import op10_html_extract
+from loomspan.llm.lang_id import op5_lang_id
+from loomspan.llm.ordinal_quality import op1_ordinal_quality
+from loomspan.llm.quality_rules import op9_quality_rules
 from loomspan.llm.url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op5_lang_id, op7_url_filter, op9_quality_rules, op10_html_extract)}
 
 ORACLES: dict[str, str] = {}
