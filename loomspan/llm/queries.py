@@ -4,10 +4,11 @@ from loomspan.llm.html_extract import op10_html_extract
 from loomspan.llm.lang_id import op5_lang_id
 from loomspan.llm.ordinal_quality import op1_ordinal_quality
 from loomspan.llm.packing import op3_best_fit_packing
+from loomspan.llm.pii import op6_pii
 from loomspan.llm.quality_rules import op9_quality_rules
 from loomspan.llm.simhash import op8_simhash
 from loomspan.llm.url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op3_best_fit_packing, op5_lang_id, op7_url_filter, op8_simhash, op9_quality_rules, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op3_best_fit_packing, op5_lang_id, op6_pii, op7_url_filter, op8_simhash, op9_quality_rules, op10_html_extract)}
 
 ORACLES: dict[str, str] = {}
