@@ -95,17 +95,19 @@ class Ordinal:
         return _sigmoid(z - self.cuts)
 
 
-def fit(rows: list[dict[int, float]], grades: list[int], top: int = 2, rounds: int = ROUNDS, rate: float = 0.1, decay: float = 2e-4) -> Ordinal:
-    """Full-batch Adam on the cumulative-link likelihood; a bucket needs LEAST documents."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], top: int = 2, rounds: int = ROUNDS, rate: float = 0.1, decay: float = 2e-4) -> Ordinal:
+    """Full-batch Adam on the cumulative-link likelihood, over (buckets, values) of each document; a bucket needs LEAST documents."""
     if not rows:
         return Ordinal(np.zeros(1 << BITS), np.log(np.arange(1, top + 1) / np.arange(top, 0, -1)))
-    seen = Counter(k for x in rows for k in x)
-    names = np.array(sorted(k for k, n in seen.items() if n >= LEAST), np.int64)
-    place = {k: j for j, k in enumerate(names.tolist())}
-    trip = [(i, place[k], v) for i, x in enumerate(rows) for k, v in x.items() if k in place]
-    if not trip:
-        trip, names = [(0, 0, 0.0)], np.zeros(1, np.int64)
-    row, at, v = (np.array(x) for x in zip(*trip, strict=True))
+    enough = sum(np.bincount(k, minlength=1 << BITS) for k, _ in rows) >= LEAST
+    names = np.flatnonzero(enough)
+    if not len(names):
+        enough[0], names = True, np.zeros(1, np.int64)
+    place = np.cumsum(enough, dtype=np.int32) - 1
+    kept = [enough[k] for k, _ in rows]
+    at = np.concatenate([place[k[x]] for (k, _), x in zip(rows, kept, strict=True)])
+    v = np.concatenate([u[x] for (_, u), x in zip(rows, kept, strict=True)]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [int(x.sum()) for x in kept])
     y = np.array(grades)
     weight = (1 / np.maximum(1, np.bincount(y, minlength=top + 1)))[y]
     weight /= weight.sum()
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("grade", "text").mapInArrow(hashed, "grade int, at binary, v binary").collect()
     rows.sort(key=lambda r: (r["grade"], r["at"], r["v"]))
-    return fit([dict(zip(np.frombuffer(r["at"], np.int32).tolist(), np.frombuffer(r["v"], np.float32).tolist(), strict=True)) for r in rows], [r["grade"] for r in rows])
+    grades = [r["grade"] for r in rows]
+    return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows], grades)
 
 
 def classify(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
