@@ -1,5 +1,6 @@
 """Registered queries of this subpackage. SQL can express none of them whole; their tests hold them against brute force."""
 
+from loomspan.llm.decontaminate import op2_template_decontamination
 from loomspan.llm.html_extract import op10_html_extract
 from loomspan.llm.lang_id import op5_lang_id
 from loomspan.llm.ordinal_quality import op1_ordinal_quality
@@ -7,8 +8,23 @@ from loomspan.llm.packing import op3_best_fit_packing
 from loomspan.llm.pii import op6_pii
 from loomspan.llm.quality_rules import op9_quality_rules
 from loomspan.llm.simhash import op8_simhash
+from loomspan.llm.suffix_dedup import op4_suffix_dedup
 from loomspan.llm.url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op3_best_fit_packing, op5_lang_id, op6_pii, op7_url_filter, op8_simhash, op9_quality_rules, op10_html_extract)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ordinal_quality,
+        op2_template_decontamination,
+        op3_best_fit_packing,
+        op4_suffix_dedup,
+        op5_lang_id,
+        op6_pii,
+        op7_url_filter,
+        op8_simhash,
+        op9_quality_rules,
+        op10_html_extract,
+    )
+}
 
 ORACLES: dict[str, str] = {}
