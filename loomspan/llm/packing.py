@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from loomspan.llm.shared import written
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-_MOST = 400_000
+_MOST = 500_000
+#: Marks that, after letters, are a pre-token of their own.
+_TAILS = ".,;:!?#$%&*|"
 #: A blank that blanks or the end follow: only then does a blank not begin a token.
 _LOOSE = re.compile(r" (?=\s|\Z)")
 _ENCODERS: dict[str, Encoder] = {}
@@ -36,31 +39,66 @@ _ENCODERS: dict[str, Encoder] = {}
 
 class Encoder:
     """Token ids as little-endian 32-bit bytes. Byte-level pre-tokens never reach over a blank that begins a word, so a text is
-    the sum of its blank-led chunks; each distinct chunk is tokenised once and kept, up to a bound."""
+    the sum of its blank-led chunks. A chunk of letters and trailing marks is two pre-tokens, which go to the merges of the
+    model directly; any other goes through the whole tokenizer. Chunks and pre-tokens met are kept, up to a bound."""
 
     def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        plain = sorted(ByteLevel.alphabet())
+        shown = {b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}  # bytes that stand for themselves
+        rest = iter(sorted(set(plain) - {chr(b) for b in shown}))
+        self.letters = {b: chr(b) if b in shown else next(rest) for b in range(256)}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _part(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        return array("I", [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks that follow a blank."""
+        words, tails, known, rest = self.words, self.tails, self.chunks, []
+        if len(words) > _MOST:
+            words.clear()
+        if len(tails) > _MOST:
+            tails.clear()
+        for c in chunks:
+            core = c.rstrip(_TAILS)
+            if core.isalpha():
+                ids = words.get(core)
+                if ids is None:
+                    ids = words[core] = self._part(" " + core)
+                if core != c:
+                    tail = c[len(core) :]
+                    if tail not in tails:
+                        tails[tail] = self._part(tail)
+                    ids = ids + tails[tail]
+                known[c] = ids
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._ids([" " + c for c in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > _MOST:
-            self.known = {}
-        new = list({c for x in chunks if x and len(x) > 1 for c in x[1:]}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self._ids([" " + c for c in part]), strict=True))
-        first = self._ids([t if x is None else x[0] for t, x in zip(texts, chunks, strict=True)])
-        get = self.known.__getitem__
-        return [a if x is None else a + b"".join(map(get, x[1:])) for a, x in zip(first, chunks, strict=True)]
+        split = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
+        if len(self.chunks) > _MOST:
+            self.chunks = {}
+        self._learn({c for x in split if x and len(x) > 1 for c in x[1:]}.difference(self.chunks))
+        first = self._ids([t if x is None else x[0] for t, x in zip(texts, split, strict=True)])
+        get = self.chunks.__getitem__
+        return [a if x is None else a + b"".join(map(get, x[1:])) for a, x in zip(first, split, strict=True)]
 
 
 def encoder(name: str = TOKENIZER) -> Encoder:
