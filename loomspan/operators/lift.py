@@ -21,6 +21,12 @@ SPECIES_LEGACY = {"human": 500_000, "mouse": 500_000, "zebrafish": 500_000, "fly
 MAX_INTRON = 500_000
 
 
+def made_once(df: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
+    """df with the columns kept and made. The latter pass through a generator of one row, which the optimiser doesn't look
+    behind: a filter on them would else be pushed down and repeat, at every level, the expressions that they stand on."""
+    return df.select(*kept, F.inline(F.array(F.struct(*made))))
+
+
 def join_transcripts(reads: DataFrame, tx: DataFrame, how: str = "inner") -> DataFrame:
     """Reads with the columns of their transcript; reads carry tx_id."""
     return reads.join(F.broadcast(tx) if small(tx) else tx, "tx_id", how)
@@ -94,7 +100,8 @@ def lift(reads: DataFrame, tx: DataFrame, max_intron: int = MAX_INTRON, warn_int
         df = df.withColumn("g_seq", when(F.when(plus, F.col("seq")).otherwise(reverse_complement(F.col("seq")))))
     if "qual" in reads.columns:
         df = df.withColumn("g_qual", when(F.when(plus, F.col("qual")).otherwise(F.reverse("qual"))))
-    return df.drop(*(c for c in df.columns if c.startswith("_") and c not in reads.columns), "exons")
+    made = [c for c in df.columns if c not in reads.columns and not c.startswith("_") and c != "exons"]
+    return made_once(df, list(reads.columns), made)
 
 
 def merge_ops(df: DataFrame, ops: str, out: str, kept_apart: str) -> DataFrame:

@@ -260,7 +260,7 @@ def _(c):
     return inspect.checksum(c.fx.reads)
 
 
-@query("flags_decode", "SELECT DISTINCT flag, array_to_string(list_filter([" + ", ".join(f"CASE WHEN (flag & {b}) <> 0 THEN '{n}' END" for b, n in flags.BITS) + "], x -> x IS NOT NULL), ',') AS names, flag AS encoded FROM fx_reads")
+@query("flags_decode", "SELECT DISTINCT flag, concat_ws(',', " + ", ".join(f"CASE WHEN (flag & {b}) <> 0 THEN '{n}' END" for b, n in flags.BITS) + ") AS names, flag AS encoded FROM fx_reads")
 def _(c):
     return c.fx.reads.select("flag").distinct().select("flag", flags.decode(F.col("flag")).alias("names")).withColumn("encoded", flags.encode(F.col("names")))
 
