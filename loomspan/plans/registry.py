@@ -9,7 +9,7 @@ from loomspan.operators import admission, annotation, inspect, intervals, pairs,
 from loomspan.operators import lift as lifting
 from loomspan.plans import oracles as O
 from loomspan.plans.context import Context
-from loomspan.sources import text
+from loomspan.sources import bam, text
 
 FLAGSHIP = "lift_core"
 _QUERIES: dict = {}
@@ -468,7 +468,7 @@ def _(c):
 @query("reheader", "SELECT 'SQ' AS kind, CASE WHEN chrom = 'chrM' THEN 'MT' ELSE chrom END AS name, CAST(CAST(MAX(ex_end) + 1000000 AS BIGINT) AS VARCHAR) AS value FROM fx_exons GROUP BY chrom UNION ALL SELECT 'RG', 'new', NULL")
 def _(c):
     header = c.sq.select(F.lit("SQ").alias("kind"), F.lit(0).alias("ord"), F.col("chrom").alias("name"), F.col("ln").cast("string").alias("value"))
-    header = header.unionByName(c.spark.createDataFrame([("PG", 1, "aligner", "x"), ("CO", 2, None, "y")], header.schema))
+    header = header.unionByName(c.spark.createDataFrame([("PG", 1, "aligner", "x"), ("CO", 2, None, "y")], "kind string, ord int, name string, value string"))
     return transform.reheader(header, {"chrM": "MT"}, "new", ("PG", "CO")).select("kind", "name", "value")
 
 
@@ -549,3 +549,17 @@ def _(c):
 @query("dict", "SELECT chrom || ':' || CAST(bin AS VARCHAR) AS chrom, 64::BIGINT AS ln, md5(upper(seq)) AS m5 FROM fx_genome")
 def _(c):
     return text.sequence_dictionary(c.genome.selectExpr("concat(chrom, ':', bin) AS chrom", "seq"))
+
+
+@query("bam_roundtrip", "SELECT qname, flag, CASE WHEN rname = 'TXMISSING' THEN NULL ELSE rname END AS rname, pos, mapq, cigar, seq, qual, 'i:' || CAST(nh AS VARCHAR) AS nh FROM fx_reads WHERE aln_id % 10 = 3 AND rname LIKE 'TX1%'")
+def _(c):
+    reads = c.fx.reads.where("aln_id % 10 = 3 AND rname LIKE 'TX1%'")
+    names = sorted(r["rname"] for r in reads.select("rname").where("rname <> 'TXMISSING'").distinct().collect())
+    back = bam.decode(bam.encode(reads, names, [1000] * len(names)))
+    return back.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", F.try_element_at("tags", F.lit("NH")).alias("nh"))
+
+
+@query("quickcheck", "SELECT 'x' AS path, true AS ok")
+def _(c):
+    files = bam.encode(c.fx.reads.limit(100), ["TX1.2"], [1000]).limit(1)
+    return bam.quickcheck(files.select(F.lit("x").alias("path"), "content"))
