@@ -12,7 +12,7 @@ QUERY_OPS = "MIS=X"
 def parse(text: str) -> Column:
     """array<struct<op,len>>; null for null, empty and '*', and for text that isn't a CIGAR."""
     return F.expr(
-        f"CASE WHEN {text} RLIKE '^([0-9]+[MIDNSHP=X])+$' THEN transform(regexp_extract_all({text}, '[0-9]+[MIDNSHP=X]', 0), "
+        f"CASE WHEN {text} RLIKE '^(?:[0-9]++[MIDNSHP=X])++$' THEN transform(regexp_extract_all({text}, '[0-9]+[MIDNSHP=X]', 0), "
         "x -> named_struct('op', right(x, 1), 'len', cast(left(x, length(x) - 1) AS int))) END"
     )
 
