@@ -46,7 +46,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.parents, self.kinds = [], [-1], ["page"]
-        self.stack, self.open, self.hidden, self.region = [], Counter(), 0, 0
+        self.stack, self.open, self.hidden, self.muted, self.region = [], Counter(), 0, 0, 0
         self.text, self.tags = [], 0
 
     def flush(self):
@@ -75,6 +75,7 @@ class Blocks(HTMLParser):
         self.stack.append((tag, hides, self.region))
         self.open[tag] += 1
         self.hidden += hides
+        self.muted += hides and tag not in BLOCK  # such text would run into the block around it
         if tag in REGION:
             self.parents.append(self.region)
             self.kinds.append(tag)
@@ -95,12 +96,14 @@ class Blocks(HTMLParser):
             top, hides, outer = self.stack.pop()
             self.open[top] -= 1
             self.hidden -= hides
+            self.muted -= hides and top not in BLOCK
             self.region = outer
             if top == tag:
                 return
 
     def handle_data(self, data):
-        self.text.append(data)
+        if not self.muted:
+            self.text.append(data)
 
     def parse_html_declaration(self, i):
         try:

@@ -44,7 +44,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _DIGITS, "length(translate(x, ' -', '')) BETWEEN 13 AND 19 AND luhn_check(translate(x, ' -', ''))", base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{_DIGITS} AND instr(text, '+') > 0", "length(translate(x, '+ ().-', '')) BETWEEN 9 AND 15", base=True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _DIGITS, f"length(replace(x, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}", 0.9),
-    Kind("local_phone", r"(?<![0-9+)\x20.-])\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", _DIGITS, "true", 0.3, "phone|tel|call|mobile|cell|fax", "order|invoice|isbn|version"),
+    Kind("local_phone", r"(?<![0-9+.-])(?<!\+[0-9]{1,3}\x20)\(?[0-9]{3}[)\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", _DIGITS, "true", 0.3, "phone|tel|call|mobile|cell|fax", "order|invoice|isbn|version"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _DIGITS, "substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000'", 0.5, "ssn|social|security|tax", "order|invoice|isbn|part"),
     Kind("secret", r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.=-]{8,}", "(instr(text, '=') > 0 OR instr(text, ':') > 0)", "true", 0.5, "auth|login|bearer|access", "example|placeholder"),
 )
