@@ -39,7 +39,8 @@ def depth_runs(lifted: DataFrame, deletions: bool = False, min_mapq: int = 0, ex
     b = blocks(lifted.where((F.col("flag").bitwiseAND(F.lit(excluded)) == 0) & (F.col("mapq") >= min_mapq)), deletions)
     ends = F.array(F.struct(F.col("b_start").alias("place"), F.lit(1).alias("d")), F.struct(F.col("b_end").alias("place"), F.lit(-1).alias("d")))
     events = b.select("chrom", F.inline(ends)).groupBy("chrom", "place").agg(F.sum("d").alias("d")).where("d <> 0")
-    events = events.withColumn("tile", F.expr(f"place div {TILE}"))
+    # Several branches read the events; kept in memory or on disk they are made once, and again only where an executor is lost.
+    events = events.withColumn("tile", F.expr(f"place div {TILE}")).persist()
     tiles = events.groupBy("chrom", "tile").agg(F.sum("d").alias("d"))
     before = Window.partitionBy("chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     carried = tiles.withColumn("base", F.coalesce(F.sum("d").over(before), F.lit(0)))

@@ -11,6 +11,17 @@ from loomspan.operators import admission, annotation, lift, pairs
 from loomspan.plans.fixtures import Fixtures
 
 
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(context: Context, name: str, make) -> DataFrame:
+    """A cached table of the annotation; its size follows the annotation, not the reads."""
+    key = (context.spark.sparkContext.applicationId, context.fx.sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = make().cache()
+    return _MADE[key]
+
+
 class Context:
     def __init__(self, spark, sf_dir: str):
         self.spark, self.fx = spark, Fixtures(spark, sf_dir)
@@ -21,12 +32,14 @@ class Context:
 
     @cached_property
     def tx(self) -> DataFrame:
-        return annotation.build_transcripts(self.exons)
+        """The annotation is built once a session and used by every later query over the directory."""
+        return _once(self, "tx", lambda: annotation.build_transcripts(self.exons))
 
     @cached_property
     def reads(self) -> DataFrame:
         """Reads with the transcript that their rname resolves to."""
-        return admission.resolved(self.fx.reads, annotation.resolve_names(self.fx.reads, self.exons))
+        names = _once(self, "names", lambda: annotation.resolve_names(self.fx.reads, self.exons))
+        return admission.resolved(self.fx.reads, names)
 
     def lifted(self, **options) -> DataFrame:
         """Converted records only."""

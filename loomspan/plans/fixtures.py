@@ -76,7 +76,10 @@ class Fixtures:
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; one with fewer splits than cores is dealt over them, as record work is heavy beside its bytes."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name == "lineitem" and df._jdf.rdd().getNumPartitions() < cores else df
 
     def __getattr__(self, name: str) -> DataFrame:
         key = f"fx_{name}"
