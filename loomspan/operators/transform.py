@@ -11,6 +11,7 @@ from loomspan.functions import cigar
 from loomspan.functions.flags import PRESETS
 from loomspan.functions.sequence import reverse_complement
 from loomspan.operators.intervals import blocks, overlap_join
+from loomspan.operators.mods import NAMES
 
 _QUAL = "aggregate(transform(split(qual, ''), q -> ascii(q) - 33), 0, (a, q) -> a + greatest(q, 0))"
 
@@ -58,8 +59,10 @@ def edit_tags(reads: DataFrame, strip: tuple[str, ...] = (), keep_only: tuple[st
 
 
 def min_mod_fraction(reads: DataFrame, code: str, fraction: float) -> DataFrame:
-    """Records with a call of the modification (map mods: code to array of 0-255 likelihoods) at this probability or more."""
-    return reads.where(F.exists(F.try_element_at("mods", F.lit(code)), lambda x: x >= F.lit(256 * fraction)))
+    """Records with a call of the modification, by code or name (map mods: code to array of 0-255 likelihoods), at this probability
+    or more."""
+    calls = F.coalesce(F.try_element_at("mods", F.lit(code)), F.try_element_at("mods", F.lit(NAMES.get(code, code))))
+    return reads.where(F.exists(calls, lambda x: x >= F.lit(256 * fraction)))
 
 
 def mark_duplicates(reads: DataFrame, umi: str | None = None, remove: bool = False) -> DataFrame:

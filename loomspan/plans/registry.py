@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.functions import flags
-from loomspan.operators import admission, annotation, inspect, intervals, pairs, transform
+from loomspan.functions import flags, sequence
+from loomspan.operators import admission, annotation, inspect, intervals, mods, pairs, transform
 from loomspan.operators import lift as lifting
 from loomspan.plans import oracles as O
 from loomspan.plans.context import Context
@@ -514,6 +514,31 @@ def _(c):
     return transform.calmd(c.lifted(), c.genome).select("aln_id", "nm")
 
 
+# Tags. Every read gets two calls of m and h on C, and one of a on A.
+
+
+def _called(c):
+    reads = c.fx.reads.selectExpr("aln_id", "concat('C+mh?,', pos % 5, ',', mapq % 7, ';A+a,', nh, ';') AS mm", "concat('B:C,', mapq * 4, ',', pos, ',', mapq, ',', nh * 80, ',', pos * 7 % 256) AS tag")
+    return mods.with_mods(reads.withColumn("ml", mods.likelihoods("tag")))
+
+
+@query("mod_calls", "SELECT aln_id, 'm' AS code, CAST(mapq * 4 AS VARCHAR) || ',' || CAST(mapq AS VARCHAR) AS calls FROM fx_reads UNION ALL SELECT aln_id, 'h', CAST(pos AS VARCHAR) || ',' || CAST(nh * 80 AS VARCHAR) FROM fx_reads UNION ALL SELECT aln_id, 'a', CAST(pos * 7 % 256 AS VARCHAR) FROM fx_reads")
+def _(c):
+    return _called(c).select("aln_id", F.explode("mods").alias("code", "calls")).select("aln_id", "code", F.array_join("calls", ",").alias("calls"))
+
+
+@query("filter_mods", "SELECT aln_id FROM fx_reads WHERE mapq * 4 >= 204.8 OR mapq >= 204.8")
+def _(c):
+    return transform.min_mod_fraction(_called(c), "m5C", 0.8).select("aln_id")
+
+
+@query("tag_surgery", "SELECT aln_id, CASE WHEN rg IS NULL THEN '' ELSE 'RD=' || rg || ';' END || 'XS=' || sample AS tags FROM fx_reads")
+def _(c):
+    tags = F.map_filter(F.create_map(F.lit("NH"), F.col("nh").cast("string"), F.lit("RG"), F.col("rg"), F.lit("XS"), F.col("sample")), lambda _, v: v.isNotNull())
+    edited = transform.edit_tags(c.fx.reads.withColumn("tags", tags), strip=("NH",), rename={"RG": "RD"})
+    return edited.select("aln_id", F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("tags"))
+
+
 # Formats
 
 
@@ -551,15 +576,22 @@ def _(c):
     return text.sequence_dictionary(c.genome.selectExpr("concat(chrom, ':', bin) AS chrom", "seq"))
 
 
-@query("bam_roundtrip", "SELECT qname, flag, CASE WHEN rname = 'TXMISSING' THEN NULL ELSE rname END AS rname, pos, mapq, cigar, seq, qual, 'i:' || CAST(nh AS VARCHAR) AS nh FROM fx_reads WHERE aln_id % 10 = 3 AND rname LIKE 'TX1%'")
+def _header(c) -> tuple[list[str], list[int]]:
+    """A BAM header lists every transcript of the annotation, here with and without its version."""
+    ids = c.exons.select(F.explode(F.array("tx_id", sequence.strip_version(F.col("tx_id")))).alias("id")).distinct().collect()
+    names = sorted(r["id"] for r in ids)
+    return names, [1000] * len(names)
+
+
+@query("bam_roundtrip", "SELECT qname, flag, CASE WHEN rname = 'TXMISSING' THEN NULL ELSE rname END AS rname, pos, mapq, cigar, seq, qual, 'i:' || CAST(nh AS VARCHAR) AS nh FROM fx_reads")
 def _(c):
-    reads = c.fx.reads.where("aln_id % 10 = 3 AND rname LIKE 'TX1%'")
-    names = sorted(r["rname"] for r in reads.select("rname").where("rname <> 'TXMISSING'").distinct().collect())
-    back = bam.decode(bam.encode(reads, names, [1000] * len(names)))
+    back = bam.decode(bam.encode(c.fx.reads, *_header(c)))
     return back.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", F.try_element_at("tags", F.lit("NH")).alias("nh"))
 
 
-@query("quickcheck", "SELECT 'x' AS path, true AS ok")
+@query("quickcheck", "SELECT * FROM (VALUES ('cut', false), ('headless', false), ('whole', true)) AS v(path, ok)")
 def _(c):
-    files = bam.encode(c.fx.reads.limit(100), ["TX1.2"], [1000]).limit(1)
-    return bam.quickcheck(files.select(F.lit("x").alias("path"), "content"))
+    # Every file as it is, without its last byte, and without its first.
+    kinds = F.array(*[F.struct(F.lit(p).alias("path"), x.alias("content")) for p, x in (("whole", F.col("content")), ("cut", F.expr("substring(content, 1, length(content) - 1)")), ("headless", F.expr("substring(content, 2)")))])
+    files = bam.encode(c.fx.reads, *_header(c)).select(F.inline(kinds))
+    return bam.quickcheck(files).groupBy("path").agg(F.bool_and("ok").alias("ok"))

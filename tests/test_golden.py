@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import cigar, flags
 from loomspan.functions.sequence import gtf_attribute, reverse_complement
-from loomspan.operators import admission, annotation, inspect, lift, pairs, transform
+from loomspan.operators import admission, annotation, inspect, lift, mods, pairs, transform
 from loomspan.sources import bam, text
 
 EXONS = [("G", t, "chr1", s, a, b) for t, s in (("P", "+"), ("M", "-")) for a, b in ((100, 110), (200, 220), (300, 305))]
@@ -151,3 +151,11 @@ def test_streaming_conversion(spark, tx, tmp_path):
     source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     write_stream(convert_stream(source, tx, names).select("aln_id", "g_cigar"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["g_cigar"] == "5M90N5M"
+
+
+def test_mod_calls(spark):
+    rows = [("C+mh,5,2;A+a.,1;", "B:C,1,2,3,4,9"), ("C+m,0;G-m?,0,1;N+17802,3;", "7,8,9,200"), (None, "1"), ("", ""), ("C+m,0,0;", "5"), ("C+m,0;", None)]
+    df = spark.createDataFrame(rows, "mm string, tag string").withColumn("ml", mods.likelihoods("tag"))
+    got = [r["mods"] for r in mods.with_mods(df).collect()]
+    assert got == [{"m": [1, 3], "h": [2, 4], "a": [9]}, {"m": [7, 8, 9], "17802": [200]}, None, {}, {"m": [5]}, None]
+    assert transform.min_mod_fraction(mods.with_mods(df), "pseU", 0.7).count() == 1
