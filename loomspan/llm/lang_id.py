@@ -1,7 +1,8 @@
 """Language identification by mixture inference: expectation-maximisation finds each document's language proportions from
 character n-gram likelihoods, and a penalised likelihood selects the set of languages.
 
-The n-gram tables are fitted on at most SAMPLE labelled documents of each language, drawn by a hash of the id over all rows.
+The n-gram tables are fitted on a sample of the labelled documents of each language, drawn by a hash of the id over all rows: all of
+them up to SAMPLE, else as many as expected five standard deviations below SAMPLE, so that more are next to never drawn.
 Edge cases: a null text, and one without a letter, is "und" with score 0. Documents with a null language, and held-out ones,
 teach nothing. Without any labelled row everything is "und". Ties go to the language first in order. Repeated rows are
 predicted each by itself; further columns don't matter; texts of any length are counted in slices.
@@ -57,7 +58,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1 << BITS, 0))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
+    few = max(0.0, sample - 5 * sample**0.5)
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 1.0 if n <= sample else few / n)])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

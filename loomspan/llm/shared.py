@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. Where that is unset, a temporary one, but on a
+    local master only: elsewhere a local folder isn't shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
