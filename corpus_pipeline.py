@@ -1,6 +1,6 @@
 """Corpus pipeline: stages over documents, each a table in the shared folder that the next one reads."""
 
-from loomspan.llm import decontaminate, lang_id, packing, pii, simhash
+from loomspan.llm import decontaminate, lang_id, near_copies, packing, pii, simhash
 from loomspan.llm.shared import written
 
 
@@ -10,8 +10,8 @@ def identified(spark, docs, sf_dir):
 
 
 def deduplicated(spark, docs, sf_dir):
-    """SimHash near-dedup (8): of each group the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Near-dedup (8): of each group linked by similarity 0.8 of five-word shingles the document with the least id stays."""
+    return simhash.keep_one(docs, near_copies.near_copies)
 
 
 def decontaminated(spark, docs, sf_dir):

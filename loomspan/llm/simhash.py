@@ -14,7 +14,7 @@ length are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -214,9 +214,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows, whole, of the document with the least id in each group. The rows' text is shuffled once, past a hash table of ids."""
-    kept = near_duplicates(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    kept = grouped(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).hint("shuffle_hash")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 

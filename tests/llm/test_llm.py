@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomspan.llm import components, decontaminate, html_extract, lang_id, ordinal_quality, packing, pii, quality_rules, simhash, suffix_dedup, url_filter
+from loomspan.llm import components, decontaminate, html_extract, lang_id, near_copies, ordinal_quality, packing, pii, quality_rules, simhash, suffix_dedup, url_filter
 
 rng = random.Random(5)
 WORDS = ["the", "and", "rain", "Öl", "x1", "banana", "zz.", "to", "ver", "keit"]
@@ -106,6 +106,33 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_near_copies(spark, docs, chunk, monkeypatch):
+    gen = random.Random(9)
+    rows = [r for r in ROWS if r[0] != 107]
+    for g in range(8):
+        base = [f"w{gen.randint(0, 3000)}" for _ in range(gen.choice([30, 120, 300]))]
+        for k in range(9):
+            copy = list(base)
+            for _ in range(gen.randint(0, len(base) // 40 + 1)):
+                copy[gen.randrange(len(copy))] = f"v{gen.randint(0, 3000)}"
+            rows.append((1000 + 10 * g + k, " ".join(copy)))
+    sets = {i: near_copies.shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in range(len(ids)) for b in range(a) if not sets[ids[a]] | sets[ids[b]] or len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
+    root = joined(len(ids), pairs)
+    far = [1 for a, b in pairs if bin(brute_fingerprint(dict(rows)[ids[a]]) ^ brute_fingerprint(dict(rows)[ids[b]])).count("1") > 3]
+    assert len(far) > 20  # pairs that the query's radius loses
+    monkeypatch.setattr(near_copies.links, "__defaults__", (chunk,))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()}
+    assert got == {i: ids[root[k]] for k, i in enumerate(ids)}
+    if chunk == 3:
+        import corpus_pipeline
+
+        assert {r["doc_id"] for r in corpus_pipeline.deduplicated(spark, df, "").collect()} == {ids[k] for k in set(root)}
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_links_with_hot_buckets(spark, chunk):
     gen = np.random.default_rng(2)
