@@ -4,7 +4,9 @@ Words (runs of letters and digits) become a template: numbers, units after numbe
 stand) turn into typed placeholders, all else is lower-cased. The hashes of all windows of WINDOW template words of every
 document meet those of the benchmark items in a hash join. A document holds an item if it has at least COVER of the item's
 windows, and the placeholders agree: each value of the item stands for one value in the document, so a question with other
-numbers or names is still found, and a chance mixture isn't.
+numbers or names is still found, and a chance mixture isn't. Both are judged for each occurrence by itself: for the hits at one
+distance between document and item, for those within two tilings of distances as wide as the item (values of more or fewer
+words shift what follows), and for the whole document; any one that passes is enough.
 
 Edge cases: null and empty texts, and those with fewer words than a window, hold nothing; such items are never held. Rows that
 share a doc_id count as one document; a null doc_id is never flagged. Repeated items don't matter. Further columns don't
@@ -13,7 +15,7 @@ matter. Whole texts are windowed, whatever their length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.shared import written
@@ -56,27 +58,38 @@ def windows(df: DataFrame, key: str) -> DataFrame:
 
 
 def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, windows (of the item, found), coverage and agreement of every pair that shares a window."""
+    """doc_id, item_id, windows (of the item, found), coverage and agreement of every pair that shares a window, of its best occurrence."""
     items = written(windows(benchmark.where("item_id IS NOT NULL").select("item_id", "text"), "item_id").distinct(), "windows")
     few = items.count() <= BROADCAST_WINDOWS
-    of_item = items.groupBy("item_id").agg(F.countDistinct("place").alias("of_item"))
+    items = items.join(items.groupBy("item_id").agg(F.countDistinct("place").alias("of_item")), "item_id")
     items = items.withColumnsRenamed({c: f"item_{c}" for c in ("place", *_SLOTS)})
     found = windows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id")
     hits = found.join(F.broadcast(items) if few else items, "hash")
-    hits = hits.groupBy("doc_id", "item_id", "item_place", *_SLOTS, *(f"item_{c}" for c in _SLOTS)).agg(F.count("*").alias("n"))
+    wide = f"(of_item + {WINDOW - 1})"
+    spots = ["0L", "place - item_place", f"floor((place - item_place) / {wide})", f"floor((place - item_place) / {wide} + 0.5)"]
+    spots = F.expr("array(" + ", ".join(f"named_struct('kind', {k}, 'at', cast({x} AS bigint))" for k, x in enumerate(spots)) + ")")
+    hits = hits.select("doc_id", "item_id", "of_item", "item_place", *_SLOTS, *(f"item_{c}" for c in _SLOTS), F.inline(spots))
+    spot = ["doc_id", "item_id", "of_item", "kind", "at"]
+    hits = hits.groupBy(*spot, "item_place", *_SLOTS, *(f"item_{c}" for c in _SLOTS)).agg(F.count("*").alias("n"))
     hits = written(hits, "hits")
-    covered = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("windows"))
-    values = hits.select("doc_id", "item_id", "n", F.inline(F.array(*[F.struct(F.col(f"item_{c}").alias("a"), F.col(c).alias("b")) for c in _SLOTS]))).where("a <> 0")
-    values = values.groupBy("doc_id", "item_id", "a", "b").agg(F.sum("n").alias("n"))
-    values = values.groupBy("doc_id", "item_id", "a").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    agreed = values.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias("agreement"))
-    both = covered.join(of_item, "item_id").join(agreed, ["doc_id", "item_id"], "left")
-    return both.select("doc_id", "item_id", "windows", (F.col("windows") / F.col("of_item")).alias("coverage"), F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+    covered = hits.groupBy(*spot).agg(F.countDistinct("item_place").alias("windows")).withColumn("coverage", F.col("windows") / F.col("of_item"))
+    covered = covered.where((F.col("kind") == 0) | (F.col("coverage") >= COVER))
+    values = hits.select(*spot, "n", F.inline(F.array(*[F.struct(F.col(f"item_{c}").alias("a"), F.col(c).alias("b")) for c in _SLOTS]))).where("a <> 0")
+    values = values.groupBy(*spot, "a", "b").agg(F.sum("n").alias("n"))
+    values = values.groupBy(*spot, "a").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    agreed = values.groupBy(*spot).agg((F.sum("most") / F.sum("n")).alias("agreement"))
+    both = covered.join(agreed, spot, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
+    best = F.max(F.struct(_passes().alias("passes"), "coverage", "agreement", "windows"))
+    return both.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.windows", "best.coverage", "best.agreement")
+
+
+def _passes() -> Column:
+    return (F.col("coverage") >= COVER) & (F.col("agreement") >= AGREE) & ((F.col("windows") >= LEAST) | (F.col("coverage") == 1))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document that holds an item: doc_id, the item covered best, its coverage and agreement, and how many are held."""
-    held = held_items(docs, benchmark).where((F.col("coverage") >= COVER) & (F.col("agreement") >= AGREE) & ((F.col("windows") >= LEAST) | (F.col("coverage") == 1)))
+    held = held_items(docs, benchmark).where(_passes())
     best = F.max(F.struct("coverage", "agreement", (-F.col("item_id")).alias("less")))
     return held.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("n_items")).selectExpr(
         "doc_id", "-best.less AS item_id", "best.coverage AS coverage", "best.agreement AS agreement", "n_items"

@@ -241,6 +241,19 @@ def test_decontamination(spark, none):
     assert held["coverage"] == 1 and held["agreement"] < 0.8
 
 
+def test_decontamination_by_occurrence(spark):
+    item = "In the year 1995 Alice bought 12 kg of apples from Bob and paid 30 dollars to him today."
+    other = "In the year 2003 Carol bought 99 kg of apples from Dan and paid 17 dollars to him today."
+    longer = "In the year 2003 Anna Maria bought 99 kg of apples from Dan and paid 1,700 dollars to him today."
+    table = "The sums of the last run were 11 12 13 14 15 and all agreed with what had been written before"
+    bench = spark.createDataFrame([(1, item), (2, table)], "item_id long, text string")
+    numbers = " ".join(str(100 + 7 * k % 311) for k in range(300))
+    texts = [f"{item} {other}", f"{other} {other.replace('Dan', 'Eve')}", f"{table} {numbers}", f"{numbers} {table} {numbers}", f"{longer} {item}", longer, numbers, "x y z " * 30 + "of apples from Dan and"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.flag_contaminated(df, bench).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: False}
+
+
 def test_quality_rules(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in ROWS:
