@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Words (runs of letters and digits) become a template: numbers, units after numbers, and names (capitalised words, wherever they
-stand) turn into typed placeholders, all else is lower-cased. The hashes of all windows of WINDOW template words of every
+stand) turn into typed placeholders, all else is lower-cased. Windows with names also stand in a form where names are
+lower-cased words, so that an item is found in capitals or small letters too. The hashes of all windows of WINDOW template words of every
 document meet those of the benchmark items in a hash join. A document holds an item if it has at least COVER of the item's
 windows, and the placeholders agree: each value of the item stands for one value in the document, so a question with other
 numbers or names is still found, and a chance mixture isn't. Both are judged for each occurrence by itself: for the hits at one
@@ -37,7 +38,8 @@ _SLOTS = [f"s{k}" for k in range(WINDOW)]
 
 
 def windows(df: DataFrame, key: str) -> DataFrame:
-    """key, place, hash and the hashed placeholder values (0: none) s0, s1, ... of every window of template words; one narrow pass.
+    """key, place, hash and the hashed placeholder values (0: none) s0, s1, ... of every window of template words, and once more, with
+    names lower-cased and no placeholders, of every window that has names; one narrow pass.
 
     Words are hashed once, windows combine numbers. Each step names what the one before it made twice, so that the optimiser
     doesn't write it into the lambdas."""
@@ -50,11 +52,21 @@ def windows(df: DataFrame, key: str) -> DataFrame:
         f"WHEN i > 0 AND ascii(t[i - 1]) BETWEEN 48 AND 57 AND lower(x) IN ({units}) THEN 2L "
         "WHEN x = lower(x) THEN xxhash64(x) WHEN substr(x, 2) = lower(substr(x, 2)) THEN 3L ELSE xxhash64(lower(x)) END) AS h",
     )
-    df = df.selectExpr(key, "h", "transform(h, (k, i) -> CASE WHEN k BETWEEN 1L AND 3L THEN xxhash64(t[i]) ELSE 0L END) AS s")
+    df = df.selectExpr(
+        key,
+        "h",
+        "transform(h, (k, i) -> CASE WHEN k BETWEEN 1L AND 3L THEN xxhash64(lower(t[i])) ELSE 0L END) AS s",
+        "CASE WHEN array_contains(h, 3L) THEN transform(h, (k, i) -> CASE WHEN k = 3L THEN xxhash64(lower(t[i])) ELSE k END) END AS f",
+    )
     hashed = ", ".join(f"h[i + {k}]" for k in range(WINDOW))
     slots = ", ".join(f"'s{k}', s[i + {k}]" for k in range(WINDOW))
-    made = f"transform(sequence(0, size(h) - {WINDOW}), i -> named_struct('place', i, 'hash', xxhash64({hashed}), {slots}))"
-    return df.selectExpr(key, f"inline(CASE WHEN size(h) >= {WINDOW} AND size(s) = size(h) THEN {made} END)")
+    folded = ", ".join(f"f[i + {k}]" for k in range(WINDOW))
+    kept = ", ".join(f"'s{k}', CASE WHEN h[i + {k}] = 3L THEN 0L ELSE s[i + {k}] END" for k in range(WINDOW))
+    named = " OR ".join(f"h[i + {k}] = 3L" for k in range(WINDOW))
+    places = f"sequence(0, size(h) - {WINDOW})"
+    made = f"transform({places}, i -> named_struct('place', i, 'hash', xxhash64({hashed}), {slots}))"
+    more = f"transform(filter({places}, i -> {named}), i -> named_struct('place', i, 'hash', xxhash64({folded}), {kept}))"
+    return df.selectExpr(key, f"inline(CASE WHEN size(h) >= {WINDOW} AND size(s) = size(h) THEN CASE WHEN size(f) = size(h) THEN concat({made}, {more}) ELSE {made} END END)")
 
 
 def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

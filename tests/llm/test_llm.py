@@ -254,6 +254,15 @@ def test_decontamination_by_occurrence(spark):
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: True, 6: False, 7: False}
 
 
+def test_decontamination_in_any_case(spark):
+    item = "Alice Brown met Carol Dean near York. A day later Frank Green wrote to Henry Irving. Then James Kent left for Leeds with 12 kg of Tea."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item, item.upper(), item.lower(), item.title(), item.lower().replace("12 kg", "31 kg"), "near York a day later he left for Leeds", item.upper()[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.flag_contaminated(df, bench).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False}
+
+
 def test_quality_rules(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in ROWS:
