@@ -3,7 +3,9 @@ threshold clustering, tell where the content region lies.
 
 Edge cases: null or empty html, and html without text, give the empty string. Unclosed and truncated markup is read to its
 end. Repeated rows are read each by itself; further columns don't matter. Pages of any length are fed in slices, and nothing
-inside the chosen region is dropped but boilerplate.
+inside the chosen region is dropped but boilerplate. Without an article or main, the region is the lowest that holds all dense
+text. A container that only its class or id marks as boilerplate is shown if it holds most of the text and a hint word is but a
+part of the name ("has-sidebar"), or if the page would have no text else.
 """
 
 from __future__ import annotations
@@ -36,22 +38,26 @@ HINTS = frozenset(
 REGION = frozenset("article main section div td body".split())
 SLICE = 1 << 16
 SIGMA = 1.0
+#: Blocks of so many words are dense in any case.
+PARAGRAPH = 20
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, region, boilerplate) for each block. Regions are numbered as they open; parents holds the outer one."""
+    """Collects (text, tags, region, boilerplate, hinted) for each block; hinted are the open containers that a class or id marks.
+    Regions and these are numbered as they open; parents holds the outer region, exact whether a whole name is a hint word."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.parents, self.kinds = [], [-1], ["page"]
         self.stack, self.open, self.hidden, self.muted, self.region = [], Counter(), 0, 0, 0
         self.text, self.tags = [], 0
+        self.hinted, self.exact = (), []
 
     def flush(self):
         if text := SPACE.sub(" ", "".join(self.text)).strip():
-            self.blocks.append((text, self.tags, self.region, self.hidden > 0))
+            self.blocks.append((text, self.tags, self.region, self.hidden > 0, self.hinted))
             self.tags = 0
         self.text = []
 
@@ -59,12 +65,19 @@ class Blocks(HTMLParser):
         if tag in NEVER or tag == "header" and not self.open["article"]:
             return True
         for k, v in attrs:
-            if v and (k == "role" and v.lower() in ROLES or k in ("class", "id") and not HINTS.isdisjoint(WORD.findall(v.lower()))):
+            if v and k == "role" and v.lower() in ROLES:
                 return tag not in ("body", "html", "main", "article")
             if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
         return False
 
+    def hint(self, tag, attrs):
+        """None, or whether a whole name is a hint word."""
+        names = [v.lower() for k, v in attrs if v and k in ("class", "id")]
+        if tag in ("body", "html", "main", "article") or all(HINTS.isdisjoint(WORD.findall(v)) for v in names):
+            return None
+        return not HINTS.isdisjoint(x for v in names for x in v.split())
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
@@ -72,7 +85,13 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         hides = self.boilerplate(tag, attrs)
-        self.stack.append((tag, hides, self.region))
+        exact = None if hides else self.hint(tag, attrs)
+        if exact is not None and tag not in BLOCK:
+            hides, exact = True, None
+        self.stack.append((tag, hides, self.region, self.hinted))
+        if exact is not None:
+            self.hinted += (len(self.exact),)
+            self.exact.append(exact)
         self.open[tag] += 1
         self.hidden += hides
         self.muted += hides and tag not in BLOCK  # such text would run into the block around it
@@ -93,7 +112,7 @@ class Blocks(HTMLParser):
         if not self.open[tag]:
             return
         while True:
-            top, hides, outer = self.stack.pop()
+            top, hides, outer, self.hinted = self.stack.pop()
             self.open[top] -= 1
             self.hidden -= hides
             self.muted -= hides and top not in BLOCK
@@ -146,9 +165,10 @@ def main_text(html: str | None) -> str:
     p.flush()
     if not p.blocks:
         return ""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in p.blocks]))
+    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in p.blocks]))
     dense = ratios > threshold(ratios)
-    shown = [k for k, b in enumerate(p.blocks) if not b[3]]
+    dense |= np.array([t.count(" ") >= PARAGRAPH - 1 for t, *_ in p.blocks])  # beside a much longer one it is one still
+    shown = _shown(p)
     if not shown:
         return ""
     if not any(dense[k] for k in shown):
@@ -160,34 +180,46 @@ def main_text(html: str | None) -> str:
     for r in range(len(p.kinds) - 1, 0, -1):  # inner regions have the larger numbers
         gain[p.parents[r]] += gain[r]
     total = gain[0]
-    marked = [r for r in range(1, len(p.kinds)) if p.kinds[r] in ("article", "main") and gain[r] > 0]
-    outer = [r for r in marked if not _inside(p.parents, r, set(marked))]
+    told: set[int] = {p.blocks[k][2] for k in shown}
+    for r in range(len(p.kinds) - 1, 0, -1):
+        if r in told:
+            told.add(p.parents[r])
+    marked = {r for r in range(1, len(p.kinds)) if p.kinds[r] in ("article", "main") and r in told}
+    outer = _outermost(p.parents, marked)
     if outer and sum(gain[r] for r in outer) >= 0.3 * total:
-        most = max(gain[r] for r in outer)
-        chosen = {r for r in outer if gain[r] >= 0.3 * most}
+        chosen = set(outer)
     else:
         best = 0
-        for r in range(1, len(p.kinds)):  # the innermost region that holds most of the dense text
-            if gain[r] >= 0.75 * total and p.parents[r] == best:
+        for r in range(1, len(p.kinds)):  # the lowest region that holds all dense text
+            if gain[r] == total and p.parents[r] == best:
                 best = r
         chosen = {best}
     inside = [False] * len(p.kinds)
     for r in range(len(p.kinds)):
         inside[r] = r in chosen or r > 0 and inside[p.parents[r]]
     picked = [k for k in shown if inside[p.blocks[k][2]]]
-    if chosen == {0} or all(p.kinds[r] == "body" for r in chosen):  # no container tells: from the first dense block to the last
-        rich = [k for k in picked if dense[k]]
-        picked = [k for k in picked if rich[0] <= k <= rich[-1] or p.kinds[p.blocks[k][2]] in ("article", "main")] if rich else picked
     return " ".join(p.blocks[k][0] for k in picked)
 
 
-def _inside(parents: list[int], r: int, others: set[int]) -> bool:
-    r = parents[r]
-    while r > 0:
-        if r in others:
-            return True
-        r = parents[r]
-    return False
+def _shown(p: Blocks) -> list[int]:
+    """Blocks outside boilerplate."""
+    free = [k for k, b in enumerate(p.blocks) if not b[3]]
+    size: Counter = Counter()
+    for k in free:
+        for c in p.blocks[k][4]:
+            size[c] += len(p.blocks[k][0])
+    most = sum(len(p.blocks[k][0]) for k in free) / 2
+    large = {c for c, n in size.items() if n > most}
+    released = {c for c in large if not p.exact[c]}
+    shown = [k for k in free if released.issuperset(p.blocks[k][4])]
+    return shown or [k for k in free if large.issuperset(p.blocks[k][4])] or free
+
+
+def _outermost(parents: list[int], marked: set[int]) -> list[int]:
+    under = [False] * len(parents)  # inside a marked region; outer regions have the smaller numbers
+    for r in range(1, len(parents)):
+        under[r] = under[parents[r]] or parents[r] in marked
+    return [r for r in marked if not under[r]]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -352,6 +352,25 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "some long text of the story goes on here " * 10
+MORE = "and a second part of it ends here " * 4
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<body><div><h1>Title</h1><div><p>{LONG}</p></div><div><p>{MORE}</p></div></div></body>", f"Title {LONG.strip()} {MORE.strip()}"),
+        (f"<body><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>The end.</p></body>", f"Title {LONG.strip()} {LONG.strip()} The end."),
+        (f"<body><article><p>{LONG}</p></article><article><p>Short one.</p></article></body>", f"{LONG.strip()} Short one."),
+        (f"<body><div class='layout has-sidebar'><h1>Title</h1><p>{LONG}</p><div class='sidebar'><p>links</p></div></div></body>", f"Title {LONG.strip()}"),
+        (f"<body><div id='menu'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><div><p>{MORE}</p></div><div class='comments'><p>{LONG}</p></div></body>", MORE.strip()),
+    ],
+)
+def test_main_text_whole(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
