@@ -1,5 +1,6 @@
 """Personal data: regular expressions propose spans, checksums (Luhn, mod-97) and value limits confirm them, and context words
-before a span adjust the score of the kinds that a pattern alone can't tell. DataFrame functions only.
+around a span adjust the score of the kinds that a pattern alone can't tell: for it, words up to CONTEXT code points before or
+after, past other matches; against it, words since the match before. DataFrame functions only.
 
 Regular expressions with places: split() gives the text between the matches, regexp_extract_all() the matches, and running sums
 of their lengths the places; the sums go by blocks, so a text with millions of matches stays near linear. Patterns are the
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 64
 CONTEXT = 48
+#: So many matches of a kind with context words, 11 code points each at least, fill the context.
+NEAR = 5
 LEAST = 0.5
 
 
@@ -27,8 +30,8 @@ class Kind:
     gate: str  # cheap SQL test of text; without it there is no match
     valid: str  # SQL over x, the match
     score: float = 1.0
-    context: str = ""  # words before the span that add 0.4
-    against: str = ""  # words before the span that take 0.4
+    context: str = ""  # words before or after the span that add 0.4
+    against: str = ""  # words between the match before and the span that take 0.4
     base: bool = False
 
 
@@ -56,14 +59,22 @@ def _quoted(text: str) -> str:
 
 
 def _confirmed(kind: Kind) -> str:
-    """SQL over x (the match) and before (the text before it)."""
+    """SQL over x (the match), before (the text since the match before) and around (the text on both sides)."""
     score = str(kind.score)
-    for words, sign in ((kind.context, "+"), (kind.against, "-")):
+    for words, sign, place in ((kind.context, "+", "around"), (kind.against, "-", "before")):
         if words:
-            score += f" {sign} (CASE WHEN lower(before) RLIKE {_quoted(rf'(?:^|[^a-z])(?:{words})')} THEN 0.4 ELSE 0 END)"
+            score += f" {sign} (CASE WHEN lower({place}) RLIKE {_quoted(rf'(?:^|[^a-z])(?:{words})')} THEN 0.4 ELSE 0 END)"
     return kind.valid if score == "1.0" else f"({kind.valid}) AND ({score}) >= {LEAST}"
 
 
+def _around(g: str, m: str) -> str:
+    """SQL: the text on both sides of match i, from the pieces g and the matches m. Linear, as substr() in a long text isn't."""
+    back = [f"coalesce(right(get({g}, i - {k}), {CONTEXT}), ''), coalesce(right(get({m}, i - {k}), {CONTEXT}), '')" for k in range(NEAR, 0, -1)]
+    on = [f"coalesce(left(get({m}, i + {k}), {CONTEXT}), ''), coalesce(left(get({g}, i + {k + 1}), {CONTEXT}), '')" for k in range(1, NEAR + 1)]
+    before = f"right(concat({', '.join(back)}, right(get({g}, i), {CONTEXT})), {CONTEXT})"
+    return f"concat({before}, '|', left(concat(left(get({g}, i + 1), {CONTEXT}), {', '.join(on)}), {CONTEXT}))"
+
+
 def _opened(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("has_digit", F.col("text").rlike("[0-9]"))
 
@@ -83,8 +94,9 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     df = df.selectExpr(*kept[: -len(names)], *(f"CASE WHEN p_{n} IS NOT NULL THEN transform(l_{n}, (y, i) -> element_at(p_{n}, cast(i div {BLOCK} AS int) + 1) + aggregate(slice(l_{n}, cast(i div {BLOCK} AS int) * {BLOCK} + 1, i % {BLOCK} + 1), 0, (a, z) -> a + z)) END AS e_{n}" for n in names))
     out = []
     for k in kinds:
-        made = f"transform(m_{k.name}, (x, i) -> named_struct('x', x, 'start', e_{k.name}[i] - length(x), 'end', e_{k.name}[i], 'before', right(g_{k.name}[i], {CONTEXT})))"
-        test = _confirmed(k).replace("before", "s.before")
+        around = _around(f"g_{k.name}", f"m_{k.name}") if k.context else "''"
+        made = f"transform(m_{k.name}, (x, i) -> named_struct('x', x, 'start', e_{k.name}[i] - length(x), 'end', e_{k.name}[i], 'before', right(g_{k.name}[i], {CONTEXT}), 'around', {around}))"
+        test = _confirmed(k).replace("before", "s.before").replace("around", "s.around")
         test = f"exists(array(s.x), x -> {test})"
         out.append(f"CASE WHEN e_{k.name} IS NOT NULL THEN filter({made}, s -> {test}) END AS s_{k.name}")
     return df.selectExpr("doc_id", *out)
@@ -103,8 +115,10 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for k in kinds:
         held = [f"`{c}`" for c in names if c != "text"]
         df = df.selectExpr("*", f"CASE WHEN {k.gate} THEN split(text, {_quoted(k.pattern)}, -1) END AS _g", f"CASE WHEN {k.gate} THEN regexp_extract_all(text, {_quoted(k.pattern)}, 0) END AS _m")
-        test = f"exists(array(z._m), x -> {_confirmed(k).replace('before', f'right(z._g, {CONTEXT})')})"
-        joined = f"array_join(transform(arrays_zip(_g, _m), z -> concat(z._g, CASE WHEN z._m IS NULL THEN '' WHEN {test} THEN '[{k.name.upper()}]' ELSE z._m END)), '')"
+        test = _confirmed(k).replace("before", "z.before").replace("around", "z.around")
+        around = _around("_g", "_m") if k.context else "''"
+        placed = f"transform(_m, (x, i) -> named_struct('x', x, 'piece', _g[i], 'before', right(_g[i], {CONTEXT}), 'around', {around}))"
+        joined = f"concat(array_join(transform({placed}, z -> concat(z.piece, CASE WHEN exists(array(z.x), x -> {test}) THEN '[{k.name.upper()}]' ELSE z.x END)), ''), element_at(_g, -1))"
         df = df.selectExpr(*held, f"CASE WHEN size(_m) > 0 THEN {joined} ELSE text END AS text", "_null", "has_digit")
     df = df.withColumn("text", F.when(~F.col("_null"), F.col("text")))
     if "n_chars" in names:

@@ -225,6 +225,19 @@ def test_pii(spark, none):
     assert pii.redact(none).count() == 0 and pii.find_spans(none).count() == 0
 
 
+def test_pii_context_past_other_matches(spark):
+    texts = ["call 555-123-4567 or 555-987-6543", "555-123-4567 (cell)", "phone: 555-123-4567, 555-987-6543, 555-222-3333", "555-123-4567 or 555-987-6543", "call " + "x" * 60 + " 555-123-4567", "order 555-123-4567, call 555-987-6543 é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["x"] for s in r["s_local_phone"]] for r in pii.find_spans(df).collect()}
+    want = [["555-123-4567", "555-987-6543"], ["555-123-4567"], ["555-123-4567", "555-987-6543", "555-222-3333"], [], []]
+    assert [got[i] for i in range(5)] == want and got[5] == ["555-987-6543"]
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        for x in got[i]:
+            t = t.replace(x, "[LOCAL_PHONE]")
+        assert red[i] == t
+
+
 def test_decontamination(spark, none):
     item = "In the year 1995 Alice bought 12 kg of apples from Bob and paid 30 dollars to him today."
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (None, item)], "item_id long, text string")
