@@ -1,11 +1,16 @@
-"""Main text of a page: streaming parser events make blocks, whose text-to-tag ratios, smoothed by a Gaussian and split by
-threshold clustering, tell where the content region lies.
-
-Edge cases: null or empty html, and html without text, give the empty string. Unclosed and truncated markup is read to its
-end. Repeated rows are read each by itself; further columns don't matter. Pages of any length are fed in slices, and nothing
-inside the chosen region is dropped but boilerplate. Without an article or main, the region is the lowest that holds all dense
-text. A container that only its class or id marks as boilerplate is shown if it holds most of the text and a hint word is but a
-part of the name ("has-sidebar"), or if the page would have no text else.
+"""Main text of a page: streaming parser events make lines, whose text-to-tag ratios, smoothed by a Gaussian and split by
+threshold clustering, tell which regions hold content.
+
+A line ends where a block begins or ends, at a line break and at a newline; lines of tags alone have ratio zero and count in the
+smoothing. Elements that can never be text are not read. What is declared as something beside the main text (a nav, footer or
+form, a role, a class or id such as "comments") isn't cut out by its name: the name lowers the ratio of the lines within to a
+fiftieth, and the clustering decides. The region is the lowest that holds all dense lines, widened to an article or main around
+it and those beside that; within it all blocks stay but those declared as something else that aren't dense, and, outside an article, runs of links.
+
+Edge cases: null or empty html, and html without text, give the empty string, as does a page whose article is empty and whose
+other text is all declared as something else. Of a page where everything is so declared the clustering picks as of any other.
+Unclosed and truncated markup is read to its end. An empty table gives no rows; repeated rows are read each by itself; further
+columns don't matter. Pages of any length are fed in slices. Where ratios tie, all lines are dense.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th "
     "thead title tr ul".split()
 )
-NEVER = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea input iframe object svg canvas "
-    "audio video dialog menu".split()
-)
+#: What is never text.
+NEVER = frozenset("head title script style noscript template button select option textarea input iframe object svg canvas audio video".split())
+#: Elements, roles and names of what stands beside the main text.
+BESIDE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -38,66 +43,67 @@ HINTS = frozenset(
 REGION = frozenset("article main section div td body".split())
 SLICE = 1 << 16
 SIGMA = 1.0
-#: Blocks of so many words are dense in any case.
+#: What a declaration as something else makes of a line's ratio.
+LOWERED = 0.02
+#: A block of so many words is dense beside much longer ones too.
 PARAGRAPH = 20
+#: So many blocks of links in a row, with at least this share of their text in links, are a menu.
+LINKS, LINKED = 3, 0.8
 WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
-class Blocks(HTMLParser):
-    """Collects (text, tags, region, boilerplate, hinted) for each block; hinted are the open containers that a class or id marks.
-    Regions and these are numbered as they open; parents holds the outer region, exact whether a whole name is a hint word."""
+class Lines(HTMLParser):
+    """Collects (text, tags, block, characters in links) for each line, (region, declared) for each block, declared being how many
+    open elements are declared as something else. Regions are numbered as they open; parents holds the outer region."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.parents, self.kinds = [], [-1], ["page"]
-        self.stack, self.open, self.hidden, self.muted, self.region = [], Counter(), 0, 0, 0
-        self.text, self.tags = [], 0
-        self.hinted, self.exact = (), []
-
-    def flush(self):
-        if text := SPACE.sub(" ", "".join(self.text)).strip():
-            self.blocks.append((text, self.tags, self.region, self.hidden > 0, self.hinted))
+        self.lines, self.blocks = [], []
+        self.parents, self.kinds, self.declared_of = [-1], ["page"], [0]
+        self.stack, self.open, self.muted, self.region, self.declared = [], Counter(), 0, 0, 0
+        self.text, self.tags, self.linked = [], 0, 0
+
+    def flush(self, ends_block: bool = True):
+        text = SPACE.sub(" ", "".join(self.text)).strip()
+        if text or self.tags:
+            if not self.blocks or self.blocks[-1] != (self.region, self.declared, len(self.blocks)):
+                self.blocks.append((self.region, self.declared, len(self.blocks) + 1))
+            self.lines.append((text, self.tags, len(self.blocks) - 1, self.linked))
             self.tags = 0
-        self.text = []
+        if ends_block and self.blocks:
+            self.blocks[-1] = (*self.blocks[-1][:2], -1)  # the next line begins another block
+        self.text, self.linked = [], 0
 
-    def boilerplate(self, tag, attrs):
-        if tag in NEVER or tag == "header" and not self.open["article"]:
+    def beside(self, tag, attrs):
+        if tag in BESIDE or tag == "header" and not self.open["article"]:
             return True
+        if tag in ("body", "html", "main", "article"):
+            return False
         for k, v in attrs:
-            if v and k == "role" and v.lower() in ROLES:
-                return tag not in ("body", "html", "main", "article")
-            if k == "hidden" or k == "aria-hidden" and v == "true":
+            if k == "role" and v and v.lower() in ROLES or k in ("class", "id") and v and not HINTS.isdisjoint(WORD.findall(v.lower())):
                 return True
         return False
 
-    def hint(self, tag, attrs):
-        """None, or whether a whole name is a hint word."""
-        names = [v.lower() for k, v in attrs if v and k in ("class", "id")]
-        if tag in ("body", "html", "main", "article") or all(HINTS.isdisjoint(WORD.findall(v)) for v in names):
-            return None
-        return not HINTS.isdisjoint(x for v in names for x in v.split())
-
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
-        self.tags += 1
+        if not self.muted:
+            self.tags += 1
         if tag in VOID:
             return
-        hides = self.boilerplate(tag, attrs)
-        exact = None if hides else self.hint(tag, attrs)
-        if exact is not None and tag not in BLOCK:
-            hides, exact = True, None
-        self.stack.append((tag, hides, self.region, self.hinted))
-        if exact is not None:
-            self.hinted += (len(self.exact),)
-            self.exact.append(exact)
+        never = tag in NEVER or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+        beside = not never and self.beside(tag, attrs)
+        if beside and tag not in BLOCK:  # such text would run into the block around it
+            never, beside = True, False
+        self.stack.append((tag, never, self.region, self.declared))
         self.open[tag] += 1
-        self.hidden += hides
-        self.muted += hides and tag not in BLOCK  # such text would run into the block around it
+        self.muted += never
+        self.declared += beside
         if tag in REGION:
             self.parents.append(self.region)
             self.kinds.append(tag)
+            self.declared_of.append(self.declared)
             self.region = len(self.kinds) - 1
 
     def handle_startendtag(self, tag, attrs):
@@ -108,21 +114,27 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        self.tags += 1
+        if not self.muted:
+            self.tags += 1
         if not self.open[tag]:
             return
         while True:
-            top, hides, outer, self.hinted = self.stack.pop()
+            top, never, self.region, self.declared = self.stack.pop()
             self.open[top] -= 1
-            self.hidden -= hides
-            self.muted -= hides and top not in BLOCK
-            self.region = outer
+            self.muted -= never
             if top == tag:
                 return
 
     def handle_data(self, data):
-        if not self.muted:
-            self.text.append(data)
+        if self.muted:
+            return
+        first, *rest = data.split("\n")
+        for k, part in enumerate((first, *rest)):
+            if k:
+                self.flush(False)
+            self.text.append(part)
+            if self.open["a"]:
+                self.linked += len(part)
 
     def parse_html_declaration(self, i):
         try:
@@ -154,65 +166,91 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full[reach : reach + len(ratios)]
 
 
+def scores(p: Lines) -> np.ndarray:
+    """The smoothed ratio of each line, lowered where it is declared as something else."""
+    lowered = np.array([LOWERED ** min(4, p.blocks[b][1]) for _, _, b, _ in p.lines])
+    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in p.lines])
+    return smoothed(ratios * lowered) * lowered
+
+
+def dense_blocks(p: Lines) -> np.ndarray:
+    """For each block whether one of its lines is over the threshold, or it is a paragraph that nothing declares as something else."""
+    value = scores(p)
+    has = np.array([bool(t) for t, *_ in p.lines])
+    over = has & (value > threshold(value))
+    words, dense = np.zeros(len(p.blocks), int), np.zeros(len(p.blocks), bool)
+    for k, (t, _, b, _) in enumerate(p.lines):
+        words[b] += t.count(" ") + bool(t)
+        dense[b] |= over[k]
+    declared = np.array([b[1] for b in p.blocks])
+    plain = (words > 0) & (declared == declared[words > 0].min())
+    dense |= plain & (words >= PARAGRAPH)
+    return dense if dense.any() else plain
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the content region, in page order, joined by one space."""
     if not html:
         return ""
-    p = Blocks()
+    p = Lines()
     for i in range(0, len(html), SLICE):
         p.feed(html[i : i + SLICE])
     p.close()
     p.flush()
-    if not p.blocks:
-        return ""
-    ratios = smoothed(np.array([len(t) / max(1, n) for t, n, *_ in p.blocks]))
-    dense = ratios > threshold(ratios)
-    dense |= np.array([t.count(" ") >= PARAGRAPH - 1 for t, *_ in p.blocks])  # beside a much longer one it is one still
-    shown = _shown(p)
-    if not shown:
+    if not any(t for t, *_ in p.lines):
         return ""
-    if not any(dense[k] for k in shown):
-        dense[shown] = True
-    gain: Counter = Counter()  # text of dense blocks under each region
-    for k in shown:
-        if dense[k]:
-            gain[p.blocks[k][2]] += len(p.blocks[k][0])
+    texts: list[list[str]] = [[] for _ in p.blocks]
+    linked = [0] * len(p.blocks)
+    for t, _, b, a in p.lines:
+        if t:
+            texts[b].append(t)
+            linked[b] += a
+    size = [sum(map(len, t)) for t in texts]
+    region, declared = [b[0] for b in p.blocks], [b[1] for b in p.blocks]
+    if min(d for d, n in zip(declared, size, strict=True) if n) and any(k in ("article", "main") and not d for k, d in zip(p.kinds, p.declared_of, strict=True)):
+        return ""  # an article, and nothing in it
+    dense = dense_blocks(p)
+    least = min(declared[k] for k in np.flatnonzero(dense))
+    gain: Counter = Counter()  # dense text under each region
+    told: set[int] = set()  # regions with text
+    for k, n in enumerate(size):
+        if n and declared[k] <= least:
+            told.add(region[k])
+        gain[region[k]] += n * bool(dense[k])
     for r in range(len(p.kinds) - 1, 0, -1):  # inner regions have the larger numbers
         gain[p.parents[r]] += gain[r]
-    total = gain[0]
-    told: set[int] = {p.blocks[k][2] for k in shown}
-    for r in range(len(p.kinds) - 1, 0, -1):
         if r in told:
             told.add(p.parents[r])
-    marked = {r for r in range(1, len(p.kinds)) if p.kinds[r] in ("article", "main") and r in told}
+    best = 0
+    for r in range(1, len(p.kinds)):  # the lowest region that holds all dense text
+        if gain[r] == gain[0] and p.parents[r] == best:
+            best = r
+    marked = {r for r in range(1, len(p.kinds)) if p.kinds[r] in ("article", "main") and r in told and p.declared_of[r] <= least}
     outer = _outermost(p.parents, marked)
-    if outer and sum(gain[r] for r in outer) >= 0.3 * total:
-        chosen = set(outer)
-    else:
-        best = 0
-        for r in range(1, len(p.kinds)):  # the lowest region that holds all dense text
-            if gain[r] == total and p.parents[r] == best:
-                best = r
-        chosen = {best}
-    inside = [False] * len(p.kinds)
+    around = best
+    while around > 0 and around not in outer:
+        around = p.parents[around]
+    article = around > 0
+    chosen = set(outer) if article else {best}
+    inside = [-1] * len(p.kinds)  # how much was declared where the chosen region began
     for r in range(len(p.kinds)):
-        inside[r] = r in chosen or r > 0 and inside[p.parents[r]]
-    picked = [k for k in shown if inside[p.blocks[k][2]]]
-    return " ".join(p.blocks[k][0] for k in picked)
-
-
-def _shown(p: Blocks) -> list[int]:
-    """Blocks outside boilerplate."""
-    free = [k for k, b in enumerate(p.blocks) if not b[3]]
-    size: Counter = Counter()
-    for k in free:
-        for c in p.blocks[k][4]:
-            size[c] += len(p.blocks[k][0])
-    most = sum(len(p.blocks[k][0]) for k in free) / 2
-    large = {c for c, n in size.items() if n > most}
-    released = {c for c in large if not p.exact[c]}
-    shown = [k for k in free if released.issuperset(p.blocks[k][4])]
-    return shown or [k for k in free if large.issuperset(p.blocks[k][4])] or free
+        inside[r] = p.declared_of[r] if r in chosen else inside[p.parents[r]] if r else -1
+    menu = set() if article else _menus(texts, linked, size, dense)
+    base = [max(least, inside[region[k]]) for k in range(len(size))]
+    return " ".join(" ".join(texts[k]) for k in range(len(size)) if size[k] and inside[region[k]] >= 0 and (dense[k] or declared[k] <= base[k] and k not in menu))
+
+
+def _menus(texts, linked, size, dense) -> set[int]:
+    """Blocks in runs of links."""
+    out: set[int] = set()
+    run: list[int] = []
+    for k in [*(k for k, n in enumerate(size) if n), -1]:
+        if k >= 0 and linked[k] >= LINKED * size[k] and not dense[k]:
+            run.append(k)
+        else:
+            out.update(run if len(run) >= LINKS else ())
+            run = []
+    return out
 
 
 def _outermost(parents: list[int], marked: set[int]) -> list[int]:
