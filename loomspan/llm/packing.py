@@ -1,13 +1,15 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents become token ids; those longer than a sequence are cut. Only the number of pieces of each length (at most
-`capacity` numbers, whatever the input) goes to the driver. There, for the longest length first, an index of the single, pair
-and triple sums of the lengths at hand finds combinations that fill the gap exactly; each is consumed as often as its
-lengths are available, so the plan stays a few thousand patterns. What is left goes best-fit. Every piece then finds its place
-by its rank among the pieces of its length.
+`capacity` numbers, whatever the input) goes to the driver. There an index maps every sum to the single lengths, pairs and
+triples at hand that make it, the most even first, as these leave the short pieces that fit anywhere. For the longest length
+first, single complements before pairs and pairs before triples, the combinations that fill its gap exactly are consumed as
+often as their lengths are available; a combination that ran out leaves the index. What is left goes best-fit. Every piece
+then finds its place by its rank among the pieces of its length.
 
 Edge cases: a null text is empty and still has its end id; an empty table gives no rows. Repeated rows are packed once each.
-Further columns don't matter. A text of any length is tokenised whole.
+Pieces of one length are alike: which of them gets which place is by task and row. Further columns don't matter. A text of any
+length is tokenised whole; marks such as <|endoftext|> in it are the tokens that the tokenizer makes of them.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(marks) or r"(?!)")
         self.merge = self.tokenizer.model.tokenize
         plain = sorted(ByteLevel.alphabet())
         shown = {b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}  # bytes that stand for themselves
@@ -92,7 +95,7 @@ class Encoder:
             known.update(zip(part, self._ids([" " + c for c in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _LOOSE.search(t) else t.split(" ") for t in texts]
+        split = [None if _LOOSE.search(t) or self.marks.search(t) else t.split(" ") for t in texts]
         if len(self.chunks) > _MOST:
             self.chunks = {}
         self._learn({c for x in split if x and len(x) > 1 for c in x[1:]}.difference(self.chunks))
@@ -144,30 +147,34 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, wit
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def _pair(left: np.ndarray, total: int, used: int = 0) -> tuple[int, int] | None:
-    """Two available lengths with this sum, the longest first; one of `used` is taken already."""
-    if total < 2:
-        return None
-    high = np.arange(total - 1, (total - 1) // 2, -1)
-    for a in high[(left[high] > 0) & (left[total - high] > 0)].tolist():
-        b = total - a
-        if left[a] >= 1 + (a == used) + (a == b) and left[b] >= 1 + (b == used) + (a == b):
-            return a, b
-    return None
-
-
-def _complement(left: np.ndarray, gap: int, terms: int) -> tuple[int, ...] | None:
-    """So many available lengths that fill the gap exactly."""
-    if terms == 1:
-        return (gap,) if left[gap] else None
-    if terms == 2:
-        return _pair(left, gap)
-    for a in np.flatnonzero(left[:gap])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        if (rest := _pair(left, gap - a, a)) and rest[0] <= a:
-            return a, *rest
-    return None
+class Complements:
+    """Index from a sum to the combinations of one, two or three lengths that make it and are available, the most even first.
+    Availability only falls, so what has run out is dropped for good."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.held = left, {}
+
+    def _made(self, total: int, terms: int) -> np.ndarray:
+        if terms == 1:
+            rows = np.array([[total]])
+        elif terms == 2:
+            low = np.arange(total // 2, 0, -1)
+            rows = np.stack([total - low, low], 1)
+        else:  # a shortest length and a pair for the rest
+            parts = [np.column_stack([pair, np.full(len(pair), c)]) for c in np.flatnonzero(self.left[: total // 3 + 1])[::-1].tolist() if len(pair := self.of(total - c, 2)) and len(pair := pair[pair[:, 1] >= c])]
+            rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+        return rows
+
+    def of(self, total: int, terms: int) -> np.ndarray:
+        """The combinations that still have a piece of each length."""
+        if total < terms:
+            return np.zeros((0, terms), np.int64)
+        rows = self.held.get((total, terms))
+        rows = self._made(total, terms) if rows is None else rows
+        rows = rows[(self.left[rows] > 0).all(1)]
+        if terms < 3:  # triples are asked for once
+            self.held[total, terms] = rows
+        return rows
 
 
 def _filled(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
@@ -179,18 +186,19 @@ def _filled(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tupl
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    index = Complements(left)
     for terms in range(1, most + 1):
         for a in range(capacity - 1, 0, -1):
-            while left[a]:
-                left[a] -= 1
-                found = _complement(left, capacity - a, terms)
-                left[a] += 1
-                if found is None:
-                    break
+            rows = index.of(capacity - a, terms) if left[a] else ()
+            while len(rows) and left[a]:
+                found = rows[0].tolist()
                 lengths, need = np.unique((a, *found), return_counts=True)
                 times = int((left[lengths] // need).min())
-                left[lengths] -= need * times
-                out.append(((a, *found), times))
+                if times:
+                    left[lengths] -= need * times
+                    out.append(((a, *found), times))
+                rows = rows[1:]
+                rows = rows[(left[rows] > 0).all(1)]
     bins: dict[int, list[list]] = {}  # gap to [lengths, how many]
     for a in range(capacity - 1, 0, -1):
         n = int(left[a])
@@ -216,8 +224,9 @@ def _filled(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tupl
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), using every piece once. Long complements spend the short pieces that the
-    best fit would want later, so the fewest sequences over the three limits on their number win."""
+    """(lengths of a sequence, how many such sequences), using every piece once. In a small table pairs and triples can spend the
+    short pieces that the best fit would want later, so the fewest sequences over the three limits on their number win, at a tie
+    those of triples."""
     return min((_filled(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
 
 
