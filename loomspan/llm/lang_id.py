@@ -5,7 +5,8 @@ The n-gram tables are fitted on a sample of the labelled documents of each langu
 them up to SAMPLE, else as many as expected five standard deviations below SAMPLE, so that more are next to never drawn.
 Edge cases: a null text, and one without a letter, is "und" with score 0. Documents with a null language, and held-out ones,
 teach nothing. Without any labelled row everything is "und". Ties go to the language first in order. Repeated rows are
-predicted each by itself; further columns don't matter; texts of any length are counted in slices.
+predicted each by itself; further columns don't matter; an empty table gives no rows. Texts of any length are counted in slices
+that overlap by a trigram, so slices lose and add none.
 """
 
 from __future__ import annotations
@@ -34,12 +35,17 @@ _CLASS[128:] = 27 + (np.arange(128) & 63)
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the trigrams within and at the ends of words, and how often each occurs."""
     total = np.zeros(1 << BITS, np.int64)
-    for at in range(0, len(text), SLICE):
-        raw = np.frombuffer(f" {text[at : at + SLICE].lower()} ".encode(), np.uint8)
-        c = _CLASS[raw]
+    raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    last = 0  # classes that the next slice begins with
+    held = np.zeros(0, np.int64)
+    for at in range(0, len(raw), SLICE):
+        c = _CLASS[raw[at : at + SLICE]]
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
-        c = c[keep]
+        keep[0] = not at or c[0] > 0 or last > 0
+        last = int(c[-1])
+        c = np.concatenate([held, c[keep]])
+        held = c[-2:]
         code = ((c[:-2] * 91 + c[1:-1]) * 91 + c[2:])[c[1:-1] > 0]
         total += np.bincount((code * 0x9E3779B1 >> 7) & ((1 << BITS) - 1), minlength=1 << BITS)
     found = np.flatnonzero(total)
@@ -68,11 +74,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found, n = counts(text)
                 table[langs.index(lang)][found] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), pa.array([x.tobytes() for x in table], pa.binary())], names=["k", "n"])
+        k, bucket = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(table[k, bucket])], names=["k", "bucket", "n"])
 
+    # Each task of the scan gives the buckets that its part of the bounded sample fills; they are summed by bucket.
+    found = drawn.select("lang", "text").mapInArrow(summed, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(langs), 1 << BITS))
-    for r in drawn.select("lang", "text").coalesce(6).mapInArrow(summed, "k int, n binary").collect():
-        table[r["k"]] += np.frombuffer(r["n"], np.int64)
+    table[found.column("k").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     table += SMOOTH
     return langs, (table / table.sum(1, keepdims=True)).T.copy()
 
