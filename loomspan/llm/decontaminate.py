@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import written
+from loomspan.llm.shared import ROW_KEY, written
 
 WINDOW = 5
 COVER = 0.5
@@ -45,7 +45,6 @@ UNITS = (
 #: Texts of so many documents or fewer are fetched for the verdict by a broadcast of their keys, of more by a shuffle.
 BROADCAST_KEYS = 1_000_000
 _SLOTS = [f"s{k}" for k in range(WINDOW)]
-_KEY = "coalesce(cast(doc_id AS string), concat('#', md5(cast(text AS binary))))"
 
 
 def _templates(df: DataFrame, key: str) -> DataFrame:
@@ -130,7 +129,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(windows(classes, "item_id").distinct(), "windows")
     small = items.count() <= BROADCAST_WINDOWS
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    texts = docs.selectExpr(f"{_KEY} AS key", "text").where("key IS NOT NULL")
+    texts = docs.selectExpr(f"{ROW_KEY} AS key", "text").where("text IS NOT NULL")
     found = _inlined(_templates(texts, "key"), "key", _SOUGHT, _FOLDED, "explode").withColumnRenamed("col", "sought")
     pairs = written(found.join(near(_sought(items)), "sought").select("key", "item_id").distinct(), "pairs")
     keys = pairs.select("key").distinct()
@@ -174,14 +173,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row's doc_id with contaminated and, if so, what it holds. Texts aren't shuffled."""
     flagged = written(contaminated(docs, benchmark), "flagged")
-    joined = docs.selectExpr("doc_id", f"{_KEY} AS key").join(flagged, "key", "left")
+    joined = docs.selectExpr("doc_id", f"{ROW_KEY} AS key").join(flagged, "key", "left")
     return joined.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "coverage", "agreement", F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, whole, of documents that hold no item. The flagged keys are written first, so that their size is known to the join."""
     flagged = written(contaminated(docs, benchmark).select(F.col("key").alias("_flagged")), "flagged")
-    return docs.withColumn("_key", F.expr(_KEY)).join(flagged, F.col("_key") == F.col("_flagged"), "left_anti").select(docs.columns)
+    return docs.withColumn("_key", F.expr(ROW_KEY)).join(flagged, F.col("_key") == F.col("_flagged"), "left_anti").select(docs.columns)
 
 
 def op2_template_decontamination(spark, sf_dir: str) -> DataFrame:

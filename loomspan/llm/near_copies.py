@@ -1,15 +1,17 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact join by prefixes, links confirmed on the texts.
+"""Near copies: SimHash links of five-word shingles and an exact prefix join, all confirmed by the Jaccard similarity of the texts.
 
-Two sets of shingles that reach LEAST of similarity share one among the first n - ceil(LEAST * n) + 1 of each, in any order that
-all documents use; so documents that share such a shingle meet in a bucket, and no pair is lost. The order is by hash, with the
-shingles that are frequent in a sample of documents last, which keeps buckets small: the sample changes cost, never results.
-A first round ties each bucket's rows to one of them; a second compares only rows that are still in different components, by
-sizes and by how many shingles can still be common. What remains is confirmed by the exact similarity of the texts. Large
-buckets are dealt over tasks by pairs of slices, without a cap.
+A radius of 3 of 64 bits reaches few of the pairs with a similarity of LEAST (5 of 48 on the 0.1 tables), so SimHash alone can't
+give right results here; the rest comes from an exact join. Two sets of shingles that reach LEAST share one among the first
+n - ceil(LEAST * n) + 1 of each, in any order that all documents use; so documents that share such a shingle meet in a bucket,
+and no pair is lost. The order is by hash, with the shingles that are frequent in a sample of documents last, which keeps buckets
+small: the sample changes cost, never results. A first round takes the bit-sliced SimHash links and ties each bucket's rows to one
+of them; a second compares only rows that are still in different components, by sizes and by how many shingles can still be
+common. What remains is confirmed by the exact similarity of the texts. Large buckets are dealt over tasks by pairs of slices,
+without a cap.
 
 Edge cases: words are lower-cased in ASCII and parted at ASCII blanks, as in simhash; a text of fewer words than a shingle is one
-shingle; null, empty and blank texts have none and are copies of each other. Rows that share a doc_id are one node; rows with a
-null doc_id stay. Further columns don't matter. Texts of any length are read whole.
+shingle; null, empty and blank texts have none and are copies of each other. Rows that share a doc_id are one document, as are rows
+without one that share a text. An empty table gives no rows. Further columns don't matter. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import simhash
 from loomspan.llm.components import components
-from loomspan.llm.shared import written
+from loomspan.llm.shared import ROW_KEY, written
 from loomspan.llm.simhash import _LOWER, CHUNK, SEED
 
 WIDTH = 5
@@ -32,6 +35,8 @@ LEAST = (4, 5)
 SAMPLE = 100_000
 FREQUENT = 16
 MOST_FREQUENT = 100_000
+#: A list of so many large buckets or fewer is broadcast.
+MOST_LARGE = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -89,22 +94,35 @@ def ordered(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.concatenate([h[~known], last[np.argsort(n[at[known]], kind="stable")]])
 
 
+def majority(h: np.ndarray) -> int:
+    """SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    if not len(h):
+        return 0
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+
+
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a hash of the set of shingles), n (its size) and the shingles of its prefix, of every row; one narrow pass."""
+    """doc_id, key, fp (a hash of the set of shingles), bits (its SimHash), n (its size) and the shingles of its prefix, of every row;
+    one narrow pass."""
     often = frequent(docs)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [hashes(t) for t in part.column(1).to_pylist()]
+                sets = [hashes(t) for t in part.column(2).to_pylist()]
                 fp = [xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets]
                 first = [ordered(h, often)[: len(h) + (-LEAST[0] * len(h)) // LEAST[1] + 1 if len(h) else 0].view(np.int64) for h in sets]
                 ends = np.cumsum([0, *map(len, first)])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(map(len, sets), pa.int64()), prefix], names=["doc_id", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(map(majority, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), prefix],
+                    names=["doc_id", "key", "fp", "bits", "n", "prefix"],
+                )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(made, "doc_id long, fp long, n long, prefix array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.selectExpr("doc_id", f"{ROW_KEY} AS key", "text").mapInArrow(made, f"doc_id {kind}, key string, fp long, bits long, n long, prefix array<long>")
 
 
 def _by_bucket(df: DataFrame, keys: int, solve, schema: str) -> DataFrame:
@@ -175,9 +193,11 @@ def _open_pairs(cols, start, size):
         live = live[left[live] >= d]
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs u, v whose texts are alike."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs u, v (of fps) whose texts are alike; reps has the key of a document for each fp."""
+    texts = docs.selectExpr(f"{ROW_KEY} AS key", "text")
+    key = reps.select("fp", "key")
+    pairs = pairs.join(key.withColumnsRenamed({"fp": "u", "key": "ku"}), "u").join(key.withColumnsRenamed({"fp": "v", "key": "kv"}), "v")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, set()
@@ -192,33 +212,40 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     good.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["u", "v"])
 
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "u", "text": "x"}), "u").join(texts.withColumnsRenamed({"doc_id": "v", "text": "y"}), "v")
+    both = pairs.join(texts.withColumnsRenamed({"key": "ku", "text": "x"}), "ku").join(texts.withColumnsRenamed({"key": "kv", "text": "y"}), "kv")
     return written(both.select("u", "v", "x", "y").mapInArrow(checked, "u long, v long"), "links")
 
 
-def links(sets: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Edges u, v between the doc_ids of sets (doc_id, n, prefix) that connect exactly what similarity links."""
-    tokens = sets.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
+def links(reps: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges u, v between the fps of reps (fp, key, bits, n, prefix) that connect exactly what similarity links."""
+    tokens = reps.select(F.col("fp").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     large = written(tokens.groupBy("token").count().where(F.col("count") > chunk).select("token", F.ceil(F.col("count") / chunk).cast("int").alias("slices")), "large")
-    dealt = tokens.join(F.broadcast(large), "token", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int"), F.lit(0)))
+    few = F.broadcast(large) if large.count() <= MOST_LARGE else large
+    dealt = tokens.join(few, "token", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int"), F.lit(0)))
     dealt = dealt.select("token", "own", "node", "n", F.col("pos").cast("bigint").alias("pos")).repartition("token", "own").sortWithinPartitions("token", "own", "node")
     tied = written(_by_bucket(dealt, 2, _tied, "token long, node long, n long, pos long, hub long"), "tied")
-    near = written(tied.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
-    found = _confirmed(near, docs)
+    near = tied.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    near = near.union(simhash.links(reps.select(F.col("fp").alias("node"), F.col("bits").alias("fp")), chunk=chunk).select("u", "v")).where("u <> v")
+    near = written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    found = _confirmed(near, reps, docs)
     rows = tied.drop("hub").distinct().join(components(found), "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rows = rows.join(F.broadcast(large), "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    rows = rows.join(few, "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "pos", "comp")
     rows = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "node")
     more = _by_bucket(rows, 3, _open_pairs, "u long, v long").distinct().join(near, ["u", "v"], "left_anti")
-    return found.union(_confirmed(written(more, "pairs"), docs))
+    return found.union(_confirmed(written(more, "pairs"), reps, docs))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fp, and the leaders."""
+    sets = written(prefixes(docs), "prefixes")
+    least = sets.groupBy("fp").agg(F.min("key").alias("key"))
+    reps = written(sets.join(least, ["fp", "key"], "left_semi").dropDuplicates(["fp"]).select("fp", "key", "bits", "n", "prefix"), "reps")
+    return sets, simhash.leaders(sets.select("doc_id", "key", "fp"), links(reps, docs))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of every row."""
-    sets = written(prefixes(docs), "prefixes")
-    reps = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    ids = reps.where("node IS NOT NULL").select(F.col("node").alias("doc_id")).distinct()
-    tied = components(links(sets.join(ids, "doc_id", "left_semi"), docs))
-    by_fp = reps.join(tied, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return sets.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    sets, led = grouped(docs)
+    return sets.select("doc_id", "fp").join(led, "fp").select("doc_id", "fp", "component_id")

@@ -1,4 +1,4 @@
-"""What several operators use: tables in the shared folder and Arrow helpers."""
+"""What several operators use: tables in the shared folder and the key of a document."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +39,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def strings(column: pa.Array) -> list[str]:
-    """The values of a string column; null gives the empty string."""
-    return ["" if x is None else x for x in column.to_pylist()]
+#: SQL: what tells documents apart. Rows without an id that share a text are one document.
+ROW_KEY = "coalesce(cast(doc_id AS string), concat('#', coalesce(md5(cast(text AS binary)), '')))"

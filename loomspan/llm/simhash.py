@@ -8,8 +8,9 @@ and an overflow plane adds them up, and blocks of lanes whose pairs all exceed t
 Exact copies are one fingerprint before any bucket. Large buckets are dealt over several tasks by pairs of slices, so a task's
 rows are bounded and no pair is lost; each task gives a spanning forest, not all pairs.
 Edge cases: a null or empty text, and one of blanks, has fingerprint zero and links like any other. Rows that share a doc_id are
-one node; a null doc_id gets a null component unless its fingerprint meets others. Further columns don't matter. Texts of any
-length are read whole.
+one document, as are rows without one that share a text; the latter link and bridge like others, and a component without any id
+is null. Further columns don't matter, nor the ids' type. Repeated rows and ties at the radius need no rule: all links count.
+An empty table gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import components
-from loomspan.llm.shared import written
+from loomspan.llm.shared import ROW_KEY, written
 
 RADIUS = 3
 SEED = 42
@@ -53,14 +54,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a bigint) of every row; one narrow pass."""
+    """doc_id, key and fp (the 64 bits as a bigint) of every row; one narrow pass."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter(map(fingerprint, b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter(map(fingerprint, b.column(2).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.selectExpr("doc_id", f"{ROW_KEY} AS key", "text").mapInArrow(hashed, f"doc_id {kind}, key string, fp long")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -174,7 +176,7 @@ def links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFram
         "node", "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("key")) for t, m in enumerate(masks(n, radius))])).alias("k")
     ).select("node", "fp", "k.t", "k.key")
     large = keyed.groupBy("t", "key").count().where(F.col("count") > chunk).select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("slices"))
-    dealt = keyed.join(large, ["t", "key"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"), F.lit(0)))
+    dealt = keyed.join(large, ["t", "key"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"), F.lit(0)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)))
     dealt = dealt.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
     dealt = dealt.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "fp")
@@ -205,20 +207,35 @@ def links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFram
     return dealt.mapInArrow(compared, "u long, v long")
 
 
+def leaders(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each fp of rows (doc_id, key, fp): component_id, the least doc_id reachable over edges between fps and rows of one key, and
+    winner, that document's key (without any id the least key)."""
+    several = rows.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v <> most").select("key", "v")
+    same = rows.join(several, "key").select(F.col("fp").alias("u"), "v")
+    tied = components(edges.select("u", "v").unionByName(same))
+    each = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    each = each.join(tied.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
+    least = each.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("key"))
+    least = least.select("class", "component_id", F.coalesce(F.col("component_id").cast("string"), "key").alias("winner"))
+    return each.select("fp", "class").join(least, "class").select("fp", "component_id", "winner")
+
+
+def grouped(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints and their leaders."""
+    fps = written(fingerprints(docs), "fingerprints")
+    return fps, leaders(fps, links(fps.select(F.col("fp").alias("node"), "fp").distinct(), radius))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of every row."""
-    fps = written(fingerprints(docs), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    tied = components(links(reps.where("node IS NOT NULL"), radius))
-    by_fp = reps.join(tied, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    fps, led = grouped(docs, radius)
+    return fps.join(led, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows, whole, of the document with the least id in each group. The rows' text is shuffled once, past a hash table of ids."""
-    kept = grouped(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).hint("shuffle_hash")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = grouped) -> DataFrame:
+    """The rows, whole, of the document with the least id in each group. The rows' text is shuffled once, past a hash table of keys."""
+    kept = groups(docs)[1].select(F.col("winner").alias("_winner")).distinct().hint("shuffle_hash")
+    return docs.withColumn("_key", F.expr(ROW_KEY)).join(kept, F.col("_key") == F.col("_winner"), "left_semi").select(docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
