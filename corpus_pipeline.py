@@ -10,8 +10,9 @@ def identified(spark, docs, sf_dir):
 
 
 def deduplicated(spark, docs, sf_dir):
-    """Near-dedup (8): of each group linked by similarity 0.8 of five-word shingles the document with the least id stays."""
-    return simhash.keep_one(docs, near_copies.near_copies)
+    """Near-dedup (8): SimHash links and what lies beyond its radius, confirmed by similarity 0.8 of five-word shingles; of each
+    group the document with the least id stays."""
+    return simhash.keep_one(docs, near_copies.grouped)
 
 
 def decontaminated(spark, docs, sf_dir):
