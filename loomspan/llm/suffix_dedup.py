@@ -4,19 +4,21 @@
    Only anchors that two texts, or two places of one text, share can lie in a repeat; all other text is done.
 2. Shards. Around shared anchors text is gathered, up to SHARD bytes in order of (doc_id, place). Its suffix array comes from
    Larsson-Sadakane refinement in numpy: ranks of h bytes and ranks h further on give ranks of 2h bytes, in one sort of packed
-   integers over the groups that aren't single yet, up to SPAN bytes. Neighbours' common prefixes go by Kasai's rule: along a
-   run of places they shrink by one, so bytes are compared only where a run begins. What repeats in its shard is decided there.
+   integers over the groups that aren't single yet, until the order is finer than SPAN bytes. Whether neighbours share SPAN bytes
+   their common prefixes tell, by Kasai's rule: along a run of places they shrink by one, so bytes are compared only where a run
+   begins. What repeats in its shard is decided there.
 3. Merging. The other strings travel, as runs of text about their anchor, to the owner of the anchor, in order of (doc_id,
-   place). The owner holds the sorted keys of the strings seen and finds each new one among them by binary search.
+   place). The owner holds the sorted keys of the strings seen, finds each new one among them by binary search, and compares the
+   bytes by common prefixes as above. A task merges its own shards in the same way first, for anchors that several of them send.
 4. The removed spans meet their texts again.
 
 Exact copies of a text with a smaller id are told by their hash and never searched. Before the shuffle of anchors a task sends
-each anchor once a batch, and a shard sends each distinct string once, so a passage that a third of all texts share gives no
-more rows than there are batches and shards. Texts travel compressed.
+each anchor once, and of each distinct string about an anchor it sends two or three, however many shards it sorts, so a passage
+that a third of all texts share gives its owner a few rows for each task. Texts travel compressed.
 
 Edge cases: a null text is empty; an empty one has no bytes and the hash of none. Rows with one doc_id and one text are one
-document; with different texts they count as documents in the order of the texts' hashes. A null doc_id comes before all.
-Further columns don't matter. Whole texts, of any length and any bytes, are searched.
+document; with different texts they count as documents in the order of the texts' hashes. A null doc_id comes before all. An
+empty table gives no rows; doc_id is a whole number. Further columns don't matter. Whole texts, of any length and any bytes, are searched.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _PLACE = 21
 _PLACES = np.uint64((1 << _PLACE) - 1)
 _STEP = (1 << 20) - SPAN
+#: What a task remembers at most: anchors told to be shared, and bytes of strings sent. Beyond, it forgets and sends again.
+MOST_TOLD, MOST_HELD = 1 << 21, 1 << 24
 _NONE = np.zeros(0, np.int64)
 
 
@@ -92,9 +96,11 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(hashes), np.concatenate(firsts)
 
 
-def suffix_groups(text: np.ndarray, valid: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Places among `valid` in suffix-array order to this depth, of the groups that share that many bytes, and for each whether
-    it begins a group. Within a group places ascend. text: at most SHARD bytes; valid places have `depth` bytes."""
+def suffix_order(text: np.ndarray, valid: np.ndarray, depth: int = SPAN) -> np.ndarray:
+    """Places among `valid` in suffix-array order, ties beyond the last doubling by place, without those that refinement up to half
+    the depth shows to share with no other. Ranks of h bytes and ranks h further on give ranks of 2h bytes, until 2h reaches the
+    depth; so the order is finer than the depth, and how much two neighbours share is for their common prefix to tell.
+    text: at most SHARD bytes; valid places have `depth` bytes."""
     n = len(text)
     index = np.arange(n, dtype=np.uint64)
     bits = np.uint64(_PLACE)
@@ -105,12 +111,11 @@ def suffix_groups(text: np.ndarray, valid: np.ndarray, depth: int = SPAN) -> tup
     rank[order] = np.maximum.accumulate(np.where(new, index, np.uint64(0)))
     known, live = 5, None
     while known < depth:
-        step = min(known, depth - known)
         single = new & np.append(new[1:], True)
         live = order[~single] if live is None else live[~single]
         if not len(live):
-            return _NONE, np.zeros(0, bool)
-        further = np.minimum(live + np.uint64(step), np.uint64(n - 1))
+            return _NONE
+        further = np.minimum(live + np.uint64(known), np.uint64(n - 1))  # a valid place has more bytes than that
         key = np.sort(rank[live] << (bits + bits) | rank[further] << bits | live)
         live, head = key & _PLACES, key >> bits
         new = np.concatenate([[True], head[1:] != head[:-1]])
@@ -118,15 +123,26 @@ def suffix_groups(text: np.ndarray, valid: np.ndarray, depth: int = SPAN) -> tup
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         offset = np.arange(len(live)) - np.repeat(start, np.diff(np.append(start, len(live))))
         rank[live] = group + np.maximum.accumulate(np.where(new, np.arange(len(live)), 0)).astype(np.uint64) - np.arange(len(live), dtype=np.uint64) + offset.astype(np.uint64)
-        known += step
+        known *= 2
     allowed = np.zeros(n, bool)
     allowed[valid] = True
-    keep = allowed[live.astype(np.int64)]
-    number = np.cumsum(new)[keep]
-    live = live[keep].astype(np.int64)
-    if not len(live):
-        return _NONE, np.zeros(0, bool)
-    return live, np.concatenate([[True], number[1:] != number[:-1]])
+    return live[allowed[live.astype(np.int64)]].astype(np.int64)
+
+
+def repeated(text: np.ndarray, valid: np.ndarray, depth: int = SPAN) -> np.ndarray:
+    """Flags the places in `valid` whose string of `depth` bytes also starts earlier: neighbours in suffix order whose common
+    prefix reaches the depth are one string, and all its places but the first repeat it."""
+    again = np.zeros(len(text), bool)
+    order = suffix_order(text, valid, depth)
+    if len(order) > 1:
+        a, b = order[1:], order[:-1]
+        by = np.argsort(a)
+        same = np.empty(len(a), bool)
+        same[by] = common_prefixes(text, a[by], b[by], depth) >= depth
+        group = np.concatenate([[0], np.cumsum(~same)])
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        again[order] = order != np.minimum.reduceat(order, start)[group]
+    return again
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = SPAN) -> np.ndarray:
@@ -194,14 +210,7 @@ class Shard:
         valid = np.ones(len(text), bool)
         for k in range(len(sizes)):
             valid[max(at[k], at[k] + sizes[k] - SPAN + 1) : at[k] + sizes[k]] = False
-        place, begins = suffix_groups(text, np.flatnonzero(valid))
-        again = np.zeros(len(text), bool)
-        if len(place):
-            later = np.flatnonzero(~begins)
-            a, b = place[later], place[later - 1]
-            by = np.argsort(a)
-            whole = common_prefixes(text, a[by], b[by]) >= SPAN
-            again[a[by][whole]] = True
+        again = repeated(text, np.flatnonzero(valid))
         removed = []
         s, e = _runs(again)
         segment = np.searchsorted(at, s, "right") - 1
@@ -241,9 +250,67 @@ def string_keys(raw: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
+class Held:
+    """Strings met before, found by binary search among their sorted keys. A key only proposes: the common prefix with the string
+    that it stands for decides."""
+
+    def __init__(self):
+        self.text, self.keys, self.places = np.zeros(0, np.uint8), np.zeros(0, np.uint64), _NONE
+
+    def meet(self, raw: np.ndarray, offsets: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each string of the runs (raw between offsets, in order; only runs of one salt are compared): its run, its place there,
+        whether it was met before, here or among the held, and the place in raw and the key of all, with what is new."""
+        key, count = string_keys(raw), np.diff(offsets) - SPAN + 1
+        row = np.repeat(np.arange(len(count)), count)
+        local = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = offsets[row] + local
+        key = _mixed(key[at] + salt[row] * _M1)
+        text, rep = np.concatenate([self.text, raw]), np.full(len(key), -1)
+        if len(self.keys):
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            rep[hit] = self.places[k[hit]]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        first = first[which]
+        own = np.arange(len(key))
+        later = (rep < 0) & (first != own)
+        rep[later] = len(self.text) + at[first[later]]
+        asked = np.flatnonzero(rep >= 0)
+        known = np.zeros(len(key), bool)
+        known[asked] = common_prefixes(text, len(self.text) + at[asked], rep[asked]) >= SPAN
+        return row, local, known, at, key, rep < 0
+
+    def keep(self, raw: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+        """Holds the strings at these places, with the text of their runs."""
+        runs, which = np.unique(row, return_inverse=True)
+        if not len(runs):
+            return
+        size = offsets[runs + 1] - offsets[runs]
+        shift = len(self.text) + np.cumsum(size) - size - offsets[runs]
+        self.text = np.concatenate([self.text, *(raw[offsets[r] : offsets[r + 1]] for r in runs.tolist())])
+        keys, places = np.concatenate([self.keys, key]), np.concatenate([self.places, at + shift[which]])
+        by = np.argsort(keys)
+        self.keys, self.places = keys[by], places[by]
+
+
+def _spans(flags: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string of each stretch of flagged ones within a run."""
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    begins = flags & (np.concatenate([[True], ~flags[:-1]]) | new)
+    ends = flags & (np.concatenate([~flags[1:], [True]]) | np.append(new[1:], True))
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """dealt, anchor, text (its hash), shared: each anchor of each text once. What a batch itself tells to be shared goes anywhere,
-    but for one row that tells the others."""
+    """dealt, anchor, text (its hash), shared: each anchor of each text once. What a task itself tells to be shared goes anywhere,
+    but for one row that tells the others; what it told it remembers, within a bound."""
+    told = np.zeros(0, np.uint64)
     for b in batches:
         hashes, texts, twice = [], [], []
         for t in b.column(0).to_pylist():
@@ -267,8 +334,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], h[1:] != h[:-1]])
         group = np.cumsum(first) - 1
         shared = (np.bincount(group) > 1)[group] | (np.bincount(group, own) > 0)[group]
-        dealt = np.where(first, h, t ^ (h * _M1))
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (dealt, h, t)] + [pa.array(shared), pa.array(first)], names=["dealt", "anchor", "text", "shared", "tells"])
+        known = _among(told, h)
+        tells = first & ~known
+        told = np.union1d(told if len(told) < MOST_TOLD else told[:0], h[tells & shared])
+        dealt = np.where(tells, h, t ^ (h * _M1))
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (dealt, h, t)] + [pa.array(shared | known), pa.array(tells)], names=["dealt", "anchor", "text", "shared", "tells"])
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,9 +383,36 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans (run is null) and runs of strings to be merged. Texts come sorted by id and hash."""
     plain = zstandard.ZstdDecompressor()
     shard, keys, last = Shard(), [], None
+    held, sent_once = Held(), np.zeros(0, np.uint64)
+
+    def unsent(sent: list[tuple], removed: list[tuple]) -> list[tuple]:
+        """What an earlier shard of this task hasn't sent already: an anchor's strings are held from its second shard on."""
+        nonlocal held, sent_once
+        anchor = np.array([x[0] for x in sent], np.uint64)
+        seen = _among(sent_once, anchor)
+        sent_once = np.union1d(sent_once if len(sent_once) < MOST_TOLD else sent_once[:0], anchor)
+        out, again = [x for x, y in zip(sent, seen.tolist(), strict=True) if not y], [x for x, y in zip(sent, seen.tolist(), strict=True) if y]
+        if not again:
+            return out
+        if len(held.text) > MOST_HELD:
+            held = Held()
+        raw, offsets = np.frombuffer(b"".join(x[3] for x in again), np.uint8), np.cumsum([0, *(len(x[3]) for x in again)])
+        row, local, known, at, key, new = held.meet(raw, offsets, anchor[seen])
+        for a, b in zip(*(x.tolist() for x in _spans(known, row)), strict=True):
+            _, i, start, _ = again[row[a]]
+            removed.append((i, start + int(local[a]), start + int(local[b]) + SPAN))
+        a, b = _spans(~known, row)
+        lows, highs = np.full(len(again), -1), np.full(len(again), -1)
+        lows[row[a][::-1]], highs[row[b]] = local[a][::-1], local[b]  # the first and the last open string of each run
+        for (h, i, start, text), x, y in zip(again, lows.tolist(), highs.tolist(), strict=True):
+            if x >= 0:
+                out.append((h, i, start + x, text[x : y + SPAN]))
+        held.keep(raw, offsets, row[new], at[new], key[new])
+        return out
 
     def out() -> pa.RecordBatch:
         removed, sent = shard.solve()
+        sent = unsent(sent, removed) if sent else sent
         rows = [(hash((keys[i], x)), *keys[i], x, y, None) for i, x, y in removed]
         rows += [(h - (1 << 64) if h >> 63 else h, *keys[i], x, x + len(r), r) for h, i, x, r in sent]
         cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -361,7 +458,7 @@ def _cut(segments, h, low, high):
 def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text, start, stop of removed spans. Runs come sorted by anchor, then id, hash and place, so an equal string met before
     is an earlier one; a place of the same text and start is itself."""
-    held, of = np.zeros(0, np.uint64), None
+    held, of = Held(), None
     for b in batches:
         if not b.num_rows:
             continue
@@ -374,33 +471,18 @@ def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1].astype(np.int64)
             raw = np.frombuffer(runs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
-            key = string_keys(raw)
-            count = np.diff(offsets) - SPAN + 1
-            row = np.repeat(np.arange(len(count)), count)
-            local = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             anchor = dealt[is_run]
-            key = _mixed(key[offsets[row] + local] + anchor.view(np.uint64)[row] * _M1)
             if of != anchor[0]:
-                held = np.zeros(0, np.uint64)
-            known = np.zeros(len(key), bool)
-            if len(held):
-                known = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
-            ranked = np.sort(key)
-            ranked = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
-            at = np.searchsorted(ranked, key)
-            first = np.empty(len(ranked), np.int64)
-            first[at[::-1]] = np.arange(len(key))[::-1]
-            known |= first[at] != np.arange(len(key))
-            new_run = np.concatenate([[True], row[1:] != row[:-1]])
-            begins = known & (np.concatenate([[True], ~known[:-1]]) | new_run)
-            ends = known & (np.concatenate([~known[1:], [True]]) | np.append(new_run[1:], True))
-            s, e = np.flatnonzero(begins), np.flatnonzero(ends)
+                held = Held()
+            row, local, known, at, key, new = held.meet(raw, offsets, anchor.view(np.uint64))
+            s, e = _spans(known, row)
             r = row[s]
             out.append((ids[is_run][r], texts[is_run][r], starts[is_run][r] + local[s], starts[is_run][r] + local[e] + SPAN))
-            tail = anchor[row] == anchor[-1]
-            fresh = ranked[np.unique(at[tail])]
-            held = np.union1d(held, fresh) if of == anchor[-1] and anchor[0] == anchor[-1] else fresh
+            if anchor[0] != anchor[-1]:
+                held = Held()
             of = anchor[-1]
+            fresh = new & (anchor[row] == of)
+            held.keep(raw, offsets, row[fresh], at[fresh], key[fresh])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "text", "start", "stop"])
 
 

@@ -56,22 +56,67 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
-def test_suffix_groups_and_prefixes():
+def test_suffix_dedup_across_shards(docs, monkeypatch):
+    """Small shards and small memories change no result."""
+    whole = sorted(suffix_dedup.suffix_dedup(docs).drop("starts", "stops").collect())
+    parts = []
+    texts = [(t or "").encode() for _, t in sorted(ROWS, key=lambda r: r[0])]
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4096)
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+    anchors = sorted({int(h) for t in texts for h in suffix_dedup.anchors(np.frombuffer(t, np.uint8))[1].view(np.int64)})
+    batch = suffix_dedup.pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": list(range(len(texts))), "z": [press.compress(t) for t in texts], "anchors": [anchors] * len(texts)})
+    rows = [r for b in suffix_dedup._shard_rows(iter([batch])) for r in b.to_pylist()]
+    rows.sort(key=lambda r: (r["dealt"], r["id"], r["text"], r["start"]))
+    table = suffix_dedup.pa.RecordBatch.from_pylist(rows, suffix_dedup.pa.schema([(c, suffix_dedup.pa.int64()) for c in ("dealt", "id", "text", "start", "stop")] + [("run", suffix_dedup.pa.binary())]))
+    parts = [table.slice(k, 50) for k in range(0, table.num_rows, 50)]
+    covered = {}
+    for b in suffix_dedup._merged_rows(iter(parts)):
+        for r in b.to_pylist():
+            covered.setdefault(r["id"], set()).update(range(r["start"], r["stop"]))
+    assert [len(covered.get(k, ())) for k in range(len(texts))] == [r["n_removed"] for r in whole]
+
+
+def test_repeats_by_common_prefix():
     text = np.frombuffer(" ".join(t or "" for _, t in ROWS[:40]).encode(), np.uint8)
-    place, begins = suffix_dedup.suffix_groups(text, np.arange(len(text) - 99))
-    groups = {}
-    for k in range(len(text) - 99):
-        groups.setdefault(text[k : k + 100].tobytes(), []).append(k)
-    found = []
-    for p, b in zip(place.tolist(), begins.tolist(), strict=True):
-        if b:
-            found.append([])
-        found[-1].append(p)
-    assert sorted(x for x in found if len(x) > 1) == sorted(x for x in groups.values() if len(x) > 1)
-    later = np.flatnonzero(~begins)
-    a, b = place[later], place[later - 1]
-    by = np.argsort(a)
-    assert (suffix_dedup.common_prefixes(text, a[by], b[by]) == 100).all()
+    places, seen, want = np.arange(len(text) - 99), set(), set()
+    for k in places.tolist():
+        want |= {k} if text[k : k + 100].tobytes() in seen else set()
+        seen.add(text[k : k + 100].tobytes())
+    assert set(np.flatnonzero(suffix_dedup.repeated(text, places)).tolist()) == want
+    order = suffix_dedup.suffix_order(text, places)
+    both = sorted(zip(order[1:].tolist(), order[:-1].tolist(), strict=True))
+    got = suffix_dedup.common_prefixes(text, *(np.array(x) for x in zip(*both, strict=True))).tolist()
+    raw = text.tobytes()
+    assert got == [next((n for n in range(100) if raw[a + n] != raw[b + n]), 100) for a, b in both]
+    assert min(got) < 100 == max(got)  # the prefixes decide: neighbours in order need not be equal
+
+
+def test_held_strings_are_compared_by_bytes(monkeypatch):
+    gen = np.random.default_rng(4)
+    runs = [gen.integers(97, 100, 130).astype(np.uint8) for _ in range(6)]
+    runs += [runs[0][10:120], runs[2], runs[5][:101]]
+    raw, offsets = np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+    salt = np.ones(len(runs), np.uint64)
+
+    def brute(seen):
+        out = []
+        for r in runs:
+            for k in range(len(r) - 99):
+                x = r[k : k + 100].tobytes()
+                out.append(x in seen)
+                seen.add(x)
+        return out
+
+    held = suffix_dedup.Held()
+    row, local, known, at, key, new = held.meet(raw, offsets, salt)
+    assert known.tolist() == brute(set()) and (new == ~known).all()
+    held.keep(raw, offsets, row[new], at[new], key[new])
+    assert held.meet(raw, offsets, salt)[2].all()
+    monkeypatch.setattr(suffix_dedup, "string_keys", lambda raw: np.zeros(len(raw) - 99, np.uint64))  # every key collides
+    found = suffix_dedup.Held().meet(raw, offsets, salt)[2]
+    assert not (found & ~np.array(brute(set()))).any()  # nothing unequal is ever taken for equal
 
 
 def brute_fingerprint(text):
