@@ -203,7 +203,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         hub, held = None, set()
         for b in batches:
             good = []
-            for u, v, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for u, v, x, y in (row for at in range(0, b.num_rows, 128) for row in zip(*(c.to_pylist() for c in b.slice(at, 128).columns), strict=True)):
                 if v != hub or not held:
                     hub, text_v, held = v, y, shingles(y)
                 elif y != text_v:
@@ -240,8 +240,8 @@ def links(reps: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with their fp, and the leaders."""
     sets = written(prefixes(docs), "prefixes")
-    least = sets.groupBy("fp").agg(F.min("key").alias("key"))
-    reps = written(sets.join(least, ["fp", "key"], "left_semi").dropDuplicates(["fp"]).select("fp", "key", "bits", "n", "prefix"), "reps")
+    least = sets.groupBy("fp").agg(F.min("key").alias("key"))  # rows that are alike in both are one node, so they do no harm
+    reps = written(sets.join(least, ["fp", "key"], "left_semi").select("fp", "key", "bits", "n", "prefix"), "reps")
     return sets, simhash.leaders(sets.select("doc_id", "key", "fp"), links(reps, docs))
 
 

@@ -31,7 +31,8 @@ from loomspan.llm.shared import written
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-_MOST = 500_000
+#: Chunks and pre-tokens that a worker keeps, of each; workers live on after their stage.
+_MOST = 200_000
 #: Marks that, after letters, are a pre-token of their own.
 _TAILS = ".,;:!?#$%&*|"
 #: A blank that blanks or the end follow: only then does a blank not begin a token.
