@@ -5,8 +5,8 @@ give right results here; the rest comes from an exact join. Two sets of shingles
 n - ceil(LEAST * n) + 1 of each, in any order that all documents use; so documents that share such a shingle meet in a bucket,
 and no pair is lost. The order is by hash, with the shingles that are frequent in a sample of documents last, which keeps buckets
 small: the sample changes cost, never results. A first round takes the bit-sliced SimHash links and ties each bucket's rows to one
-of them; a second compares only rows that are still in different components, by sizes and by how many shingles can still be
-common. What remains is confirmed by the exact similarity of the texts. Large buckets are dealt over tasks by pairs of slices,
+of them, a second to its most central one; a third compares only rows that are still in different components, by sizes and by how
+many shingles can still be common. What remains is confirmed by the exact similarity of the texts. Large buckets are dealt over tasks by pairs of slices,
 without a cap.
 
 Edge cases: words are lower-cased in ASCII and parted at ASCII blanks, as in simhash; a text of fewer words than a shingle is one
@@ -173,7 +173,15 @@ def _tied(cols, start, size):
     hub = np.repeat(start, size)
     many = np.repeat(size > 1, size)
     fits = many & (node != node[hub]) & possible(n, pos, n[hub], pos[hub])
-    yield token[many], node[many], n[many], pos[many], np.where(fits, node[hub], node)[many]
+    yield token[many], node[many], n[many], pos[many], np.where(fits, node[hub], node)[many], np.repeat(size, size)[many]
+
+
+def _centred(cols, start, size):
+    """Rows of a bucket with its most central one, which stands first, where the two are in different components and can be alike."""
+    _, _, _, node, n, pos, comp = cols
+    hub = np.repeat(start, size)
+    at = (comp != comp[hub]) & possible(n, pos, n[hub], pos[hub])
+    yield np.maximum(node, node[hub])[at], np.minimum(node, node[hub])[at]
 
 
 def _open_pairs(cols, start, size):
@@ -223,20 +231,32 @@ def links(reps: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     few = F.broadcast(large) if large.count() <= MOST_LARGE else large
     dealt = tokens.join(few, "token", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int"), F.lit(0)))
     dealt = dealt.select("token", "own", "node", "n", F.col("pos").cast("bigint").alias("pos")).repartition("token", "own").sortWithinPartitions("token", "own", "node")
-    tied = written(_by_bucket(dealt, 2, _tied, "token long, node long, n long, pos long, hub long"), "tied")
+    tied = written(_by_bucket(dealt, 2, _tied, "token long, node long, n long, pos long, hub long, size long"), "tied")
     near = tied.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     near = near.union(simhash.links(reps.select(F.col("fp").alias("node"), F.col("bits").alias("fp")), chunk=chunk).select("u", "v")).where("u <> v")
     near = written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     found = _confirmed(near, reps, docs)
-    rows = tied.drop("hub").distinct().join(components(found), "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rows = rows.join(few, "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = tied.select("token", "node", "n", "pos").distinct()
+    # Copies of one text are alike to it more than to each other; as all its shingles are theirs, it stands in the largest buckets.
+    central = tied.groupBy("node").agg(F.sum("size").alias("central"))
+    own = F.pmod(F.xxhash64("token", "node"), F.col("slices")).cast("int")
+    open_ = _with_slices(rows, found, few).join(central, "node").withColumn("own", own).select("token", "own", "central", "node", "n", "pos", "comp")
+    open_ = open_.repartition("token", "own").sortWithinPartitions("token", "own", F.desc("central"), "node")
+    second = written(_by_bucket(open_, 2, _centred, "u long, v long").distinct().join(near, ["u", "v"], "left_anti"), "pairs")
+    found = found.union(_confirmed(second, reps, docs))
+    rows = _with_slices(rows, found, few).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "pos", "comp")
     rows = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "node")
-    more = _by_bucket(rows, 3, _open_pairs, "u long, v long").distinct().join(near, ["u", "v"], "left_anti")
+    more = _by_bucket(rows, 3, _open_pairs, "u long, v long").distinct().join(near.union(second), ["u", "v"], "left_anti")
     return found.union(_confirmed(written(more, "pairs"), reps, docs))
 
 
+def _with_slices(rows: DataFrame, found: DataFrame, large: DataFrame) -> DataFrame:
+    """rows with the component of their node, and how many slices their bucket has."""
+    tied = rows.join(components(found), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    return tied.join(large, "token", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with their fp, and the leaders."""
     sets = written(prefixes(docs), "prefixes")
