@@ -36,8 +36,10 @@ def listed(reads: DataFrame, tx: DataFrame, genes: DataFrame | None = None, tran
     wanted = None
     for table, column in ((genes, "gene_id"), (transcripts, "tx_id")):
         if table is not None:
-            near = ids.join(table.select("id").distinct(), (F.col("id") == F.col(column)) | (F.col("id") == F.substring_index(column, ".", 1)), "left_semi").select("tx_id")
-            wanted = near if wanted is None else wanted.union(near)
+            asked = table.select("id").distinct()
+            for name in (F.col(column), F.substring_index(column, ".", 1)):  # two equality joins, as an OR would be a nested loop
+                near = ids.withColumn("id", name).join(asked, "id", "left_semi").select("tx_id")
+                wanted = near if wanted is None else wanted.union(near)
     return reads if wanted is None else reads.join(wanted.distinct(), "tx_id", "left_semi")
 
 

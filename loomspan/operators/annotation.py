@@ -12,12 +12,22 @@ BROADCAST_TRANSCRIPTS = 2_000_000
 DEFAULT_TAIL = 1_000_000
 
 
+def _seen(rows: DataFrame) -> str:
+    """The column that tells which row came first."""
+    return "line_no" if "line_no" in rows.columns else "ex_start"
+
+
 def merge_exons(rows: DataFrame) -> DataFrame:
-    """gene_id, tx_id, chrom, strand, ex_start, ex_end: overlapping or touching rows of a transcript become one exon."""
+    """gene_id, tx_id, chrom, strand, ex_start, ex_end, and with line_no in rows also the transcript's first: overlapping or touching
+    rows of a transcript become one exon; its first row (by line_no, else by place) tells gene, chromosome and strand."""
+    first = F.min_by(F.struct("gene_id", "chrom", "strand"), F.struct(_seen(rows), "gene_id", "chrom", "strand")).over(Window.partitionBy("tx_id"))
+    kept = ["line_no"] if "line_no" in rows.columns else []
+    rows = rows.withColumn("_of", first).withColumns({c: F.col(f"_of.{c}") for c in ("gene_id", "chrom", "strand")}).drop("_of")
+    rows = rows.withColumns({c: F.min(c).over(Window.partitionBy("tx_id")) for c in kept})
     w = Window.partitionBy("tx_id").orderBy("ex_start", "ex_end")
     reach = F.max("ex_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = rows.withColumn("_new", F.when(F.col("ex_start") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
-    return islands.groupBy("gene_id", "tx_id", "chrom", "strand", "_island").agg(F.min("ex_start").alias("ex_start"), F.max("ex_end").alias("ex_end")).drop("_island")
+    return islands.groupBy("gene_id", "tx_id", "chrom", "strand", *kept, "_island").agg(F.min("ex_start").alias("ex_start"), F.max("ex_end").alias("ex_end")).drop("_island")
 
 
 def exon_offsets(exons: DataFrame) -> DataFrame:
@@ -38,26 +48,28 @@ def gene_bounds(exons: DataFrame) -> DataFrame:
 
 
 def build_transcripts(exons: DataFrame) -> DataFrame:
-    """One row a transcript: tx_id, gene_id, chrom, strand, tx_len, gene_start, gene_end and exons in genome order."""
+    """One row a transcript: tx_id, gene_id, chrom, strand, tx_len, gene_start, gene_end and exons in genome order. The first-seen
+    exon (by line_no, else by place) tells gene, chromosome and strand, all three together."""
     offsets = exon_offsets(exons)
+    first = F.min_by(F.struct("gene_id", "chrom", "strand"), F.struct(_seen(exons), "gene_id", "chrom", "strand"))
     one = offsets.groupBy("tx_id").agg(
-        F.min("gene_id").alias("gene_id"),
-        F.min("chrom").alias("chrom"),
-        F.min("strand").alias("strand"),
+        first.alias("_of"),
         F.max("tx_len").alias("tx_len"),
         F.array_sort(F.collect_list(F.struct("g_off", F.col("ex_start").alias("start"), F.col("ex_end").alias("end"), F.col("ex_len").alias("len")))).alias("exons"),
     )
+    one = one.withColumns({c: F.col(f"_of.{c}") for c in ("gene_id", "chrom", "strand")})
     return one.join(gene_bounds(exons), "gene_id").select("tx_id", "gene_id", "chrom", "strand", "tx_len", "gene_start", "gene_end", "exons")
 
 
 def resolver(tx: DataFrame, mode: str = "lookup") -> DataFrame:
-    """key, tx_id, prio: the names that stand for a transcript. Lower prio wins, then the last transcript.
+    """key, tx_id, prio, ord: the names that stand for a transcript. Lower prio wins, then the transcript that comes last (by line_no
+    in tx, else by id).
 
     strict: its own id. strip: the id up to the first dot. permissive: also with and without a chr prefix.
     lookup: its id, else the id's base."""
-    ids = tx.select("tx_id").distinct()
-    own = ids.select(F.col("tx_id").alias("key"), "tx_id", F.lit(0).alias("prio"))
-    base = ids.select(strip_version(F.col("tx_id")).alias("key"), "tx_id", F.lit(1).alias("prio"))
+    ids = tx.groupBy("tx_id").agg((F.min("line_no") if "line_no" in tx.columns else F.lit(0)).cast("bigint").alias("ord"))
+    own = ids.select(F.col("tx_id").alias("key"), "tx_id", F.lit(0).alias("prio"), "ord")
+    base = ids.select(strip_version(F.col("tx_id")).alias("key"), "tx_id", F.lit(1).alias("prio"), "ord")
     if mode == "strict":
         return own
     if mode == "strip":
@@ -65,14 +77,14 @@ def resolver(tx: DataFrame, mode: str = "lookup") -> DataFrame:
     found = own.unionByName(base)
     if mode == "permissive":
         bare = F.regexp_replace("key", "^(?i:chr)", "")
-        found = found.unionByName(found.select(bare.alias("key"), "tx_id", (F.col("prio") + 2).alias("prio"))).unionByName(
-            found.select(F.concat(F.lit("chr"), bare).alias("key"), "tx_id", (F.col("prio") + 2).alias("prio"))
+        found = found.unionByName(found.select(bare.alias("key"), "tx_id", (F.col("prio") + 2).alias("prio"), "ord")).unionByName(
+            found.select(F.concat(F.lit("chr"), bare).alias("key"), "tx_id", (F.col("prio") + 2).alias("prio"), "ord")
         )
     return found
 
 
 def resolve_names(names: DataFrame, tx: DataFrame, mode: str = "lookup") -> DataFrame:
-    """rname, tx_id for each distinct rname that a transcript answers to; base collisions go to the last transcript id.
+    """rname, tx_id for each distinct rname that a transcript answers to; base collisions go to the last transcript.
 
     Only distinct names are resolved, so the reads themselves are joined once, by the equality of rname."""
     keys = resolver(tx, "strip" if mode == "strip" else "lookup" if mode == "auto" else mode)
@@ -84,7 +96,7 @@ def resolve_names(names: DataFrame, tx: DataFrame, mode: str = "lookup") -> Data
     if mode != "strict":
         asked = asked.unionByName(wanted.select("rname", strip_version(F.col("rname")).alias("key"), F.lit(1).alias("q")))
     best = F.min_by("tx_id", F.struct("q", "prio", F.lit(0)))
-    hits = asked.join(keys, "key").groupBy("rname", "q", "prio").agg(F.max("tx_id").alias("tx_id"))
+    hits = asked.join(keys, "key").groupBy("rname", "q", "prio").agg(F.max_by("tx_id", F.struct("ord", "tx_id")).alias("tx_id"))
     return hits.groupBy("rname").agg(best.alias("tx_id"))
 
 

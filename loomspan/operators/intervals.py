@@ -75,11 +75,12 @@ def coverage(runs: DataFrame, reads: DataFrame, sq: DataFrame) -> DataFrame:
 
 def region_depth(runs: DataFrame, bed: DataFrame, threshold: int = 0) -> DataFrame:
     """name, chrom, bed_start, bed_end, depth_sum and bases at a depth of at least threshold, for every region."""
-    hit = overlap_join(bed, runs, "bed_start", "bed_end", "run_start", "run_end")
+    places = bed.select("chrom", "bed_start", "bed_end").distinct()  # names may be null or repeat, and places too
+    hit = overlap_join(places, runs, "bed_start", "bed_end", "run_start", "run_end")
     size = F.least("bed_end", "run_end") - F.greatest("bed_start", "run_start")
-    per = hit.groupBy("name", "chrom").agg(F.sum(size * F.col("depth")).alias("depth_sum"), F.sum(F.when(F.col("depth") >= threshold, size).otherwise(0)).alias("deep"))
+    per = hit.groupBy("chrom", "bed_start", "bed_end").agg(F.sum(size * F.col("depth")).alias("depth_sum"), F.sum(F.when(F.col("depth") >= threshold, size).otherwise(0)).alias("deep"))
     zero = F.lit(0).cast("bigint")
-    return bed.join(per, ["name", "chrom"], "left").select("name", "chrom", "bed_start", "bed_end", F.coalesce("depth_sum", zero).alias("depth_sum"), F.coalesce("deep", zero).alias("deep"))
+    return bed.join(per, ["chrom", "bed_start", "bed_end"], "left").select("name", "chrom", "bed_start", "bed_end", F.coalesce("depth_sum", zero).alias("depth_sum"), F.coalesce("deep", zero).alias("deep"))
 
 
 def assign_genes(lifted: DataFrame, exons: DataFrame, stranded: int = 0, multi: bool = False) -> DataFrame:

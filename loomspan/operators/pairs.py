@@ -63,6 +63,41 @@ def mates(restored: DataFrame) -> DataFrame:
     )
 
 
+def records(restored: DataFrame) -> DataFrame:
+    """The main output: restored without ambiguous records; mates (pk 1 or 2) get bit 0x1, 0x2 on one transcript and chromosome, 0x8
+    and 0x20 of the other, and rnext, pnext and tlen (spans and gap, the first record of the pair by mates() with the sign)."""
+    side = F.struct(F.when(F.col("flag").bitwiseAND(F.lit(64)) != 0, 0).otherwise(1).alias("second"), "g_start", "aln_id", "flag", "chrom", "g_end")
+    w = Window.partitionBy("qname", "hi_key", "pk", "pair_key", "pair_no")
+    paired = F.col("pk").isin(1, 2)
+    df = restored.where("pk IS NULL OR pk <> -1").withColumn("_r1", F.min(side).over(w)).withColumn("_r2", F.max(side).over(w))
+    own_first = F.col("_r1.aln_id") == F.col("aln_id")
+    df = df.withColumn("_m", F.when(paired, F.when(own_first, F.col("_r2")).otherwise(F.col("_r1"))))
+    same = F.col("_m.chrom") == F.col("chrom")
+    span = F.col("_r1.g_end") - F.col("_r1.g_start") + F.col("_r2.g_end") - F.col("_r2.g_start")
+    gap = F.greatest(F.lit(0), F.greatest("_r1.g_start", "_r2.g_start") - F.least("_r1.g_end", "_r2.g_end"))
+    plus = own_first == (F.col("_r1.g_start") <= F.col("_r2.g_start"))
+    bits = F.lit(1).bitwiseOR(F.when(same & (F.col("pk") == 1), 2).otherwise(0))
+    bits = bits.bitwiseOR(F.when(F.col("_m.flag").bitwiseAND(F.lit(4)) != 0, 8).otherwise(0)).bitwiseOR(F.when(F.col("_m.flag").bitwiseAND(F.lit(16)) != 0, 32).otherwise(0))
+    return df.withColumns(
+        {
+            "flag": F.when(paired, F.col("flag").bitwiseAND(F.lit(~42)).bitwiseOR(bits)).otherwise(F.col("flag")),
+            "rnext": F.col("_m.chrom"),
+            "pnext": F.col("_m.g_start"),
+            "tlen": F.when(paired & same, F.when(plus, span + gap).otherwise(-(span + gap))).otherwise(F.lit(0)).cast("bigint"),
+        }
+    ).drop("_r1", "_r2", "_m")
+
+
+def ambiguous(restored: DataFrame) -> DataFrame:
+    """The records that leave the main output."""
+    return restored.where("pk = -1")
+
+
+def unpaired(restored: DataFrame) -> DataFrame:
+    """Paired records that found no mate."""
+    return restored.where("pk = 0")
+
+
 def pair_stats(restored: DataFrame) -> DataFrame:
     """Total, passed through, same, cross (in pairs), singletons and ambiguous."""
     k = F.col("pk")

@@ -200,8 +200,9 @@ def rename_references(reads: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def inject_summary(reads: DataFrame, summary: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """reads with the summary's values (by read id) under tag columns, never over a value that is there; and the conflicts:
-    qname, tag, old, new, equal, one row where both have a value."""
-    fresh = summary.select(F.col("read_id").alias("qname"), *[F.col(c).cast("string").alias(f"_{t}") for c, t in columns.items()])
+    qname, tag, old, new, equal, one row where both have a value. Of rows that repeat a read id the least counts."""
+    fresh = summary.select(F.col("read_id").alias("qname"), F.struct(*[F.col(c).cast("string").alias(f"_{t}") for c, t in columns.items()]).alias("_s"))
+    fresh = fresh.groupBy("qname").agg(F.min("_s").alias("_s")).select("qname", "_s.*")
     joined = reads.join(fresh, "qname", "left")
     for t in columns.values():
         if t not in reads.columns:

@@ -46,8 +46,9 @@ class Context:
         admitted = admission.with_status(self.reads).where("status = 'admitted'").drop("status")
         return lift.lift(admitted, self.tx, **options).where("status = 'converted'")
 
-    def restored(self, cross: bool) -> DataFrame:
-        keyed = self.lifted().withColumn("hi_key", pairs.hi_or_default()).select("aln_id", "qname", "tx_id", "hi_key", "flag", "chrom", "g_start", "g_end")
+    def restored(self, cross: bool, flag: str = "flag") -> DataFrame:
+        """flag: that of the input, or g_flag for the records as they are written."""
+        keyed = self.lifted().withColumn("hi_key", pairs.hi_or_default()).select("aln_id", "qname", "tx_id", "hi_key", F.col(flag).alias("flag"), "chrom", "g_start", "g_end")
         return pairs.restore(keyed, cross)
 
     @cached_property

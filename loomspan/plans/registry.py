@@ -194,6 +194,61 @@ def _(c):
     return pairs.pair_stats(c.restored(True))
 
 
+_OF_PAIR = "pk2 IN (1, 2)"
+
+
+@query(
+    "pairs_records",
+    f"""SELECT p.aln_id, CAST(CASE WHEN {_OF_PAIR} THEN (l.g_flag & ~42) | 1 | CASE WHEN pk2 = 1 AND x.chrom = l.chrom THEN 2 ELSE 0 END | CASE WHEN (x.g_flag & 4) <> 0 THEN 8 ELSE 0 END | CASE WHEN (x.g_flag & 16) <> 0 THEN 32 ELSE 0 END ELSE l.g_flag END AS INT) AS flag,
+       pk2 AS pk, x.chrom AS rnext, x.g_start AS pnext,
+       CAST(CASE WHEN {_OF_PAIR} AND x.chrom = l.chrom THEN (e1 - s1 + e2 - s2 + GREATEST(0, GREATEST(s1, s2) - LEAST(e1, e2))) * CASE WHEN is_first = (s1 <= s2) THEN 1 ELSE -1 END ELSE 0 END AS BIGINT) AS tlen
+       FROM o_pk2 p JOIN o_lift l USING (aln_id) LEFT JOIN (SELECT a1 AS aln_id, a2 AS other, true AS is_first, s1, e1, s2, e2 FROM o_mates UNION ALL SELECT a2, a1, false, s1, e1, s2, e2 FROM o_mates) m USING (aln_id)
+       LEFT JOIN o_lift x ON x.aln_id = m.other WHERE pk2 IS NULL OR pk2 <> -1""",
+    O.PAIRS,
+)
+def _(c):
+    return pairs.records(c.restored(True, "g_flag")).select("aln_id", "flag", "pk", "rnext", "pnext", "tlen")
+
+
+@query("pairs_ambiguous", "SELECT aln_id, qname, tx_id FROM o_pk2 WHERE pk2 = -1", O.PAIRS)
+def _(c):
+    return pairs.ambiguous(c.restored(True)).select("aln_id", "qname", "tx_id")
+
+
+@query("pairs_unpaired", "SELECT aln_id, qname, tx_id FROM o_pk2 WHERE pk2 = 0", O.PAIRS)
+def _(c):
+    return pairs.unpaired(c.restored(True)).select("aln_id", "qname", "tx_id")
+
+
+@query(
+    "bedcov_unnamed",
+    "SELECT CASE WHEN bed_start % 2 = 0 THEN 'B' END AS name, b.chrom, bed_start, bed_end, CAST(COALESCE(SUM((LEAST(bed_end, run_end) - GREATEST(bed_start, run_start)) * depth), 0) AS BIGINT) AS depth_sum FROM fx_bed b LEFT JOIN o_runs r ON r.chrom = b.chrom AND run_start < bed_end AND run_end > bed_start GROUP BY ALL",
+    O.DEPTH,
+)
+def _(c):
+    # Names that are null or one for all must not mix regions.
+    bed = c.fx.bed.withColumn("name", F.expr("CASE WHEN bed_start % 2 = 0 THEN 'B' END"))
+    return intervals.region_depth(intervals.depth_runs(c.lifted()), bed).drop("deep")
+
+
+@query(
+    "inject_repeated",
+    "SELECT r.aln_id, s.er FROM fx_reads r LEFT JOIN (SELECT read_id, MIN(end_reason) AS er FROM (SELECT read_id, end_reason FROM fx_summary UNION ALL SELECT read_id, 'zz' FROM fx_summary) t GROUP BY read_id) s ON s.read_id = r.qname",
+)
+def _(c):
+    # Each read id stands twice in this summary; reads must not multiply.
+    twice = c.fx.summary.unionByName(c.fx.summary.withColumn("end_reason", F.lit("zz")))
+    return transform.inject_summary(c.fx.reads, twice, {"end_reason": "er"})[0].select("aln_id", "er")
+
+
+@query("id_resolve_collisions", "SELECT DISTINCT 'TX' || CAST(i AS VARCHAR) AS rname, 'TX' || CAST(i AS VARCHAR) || '.10' AS tx_id FROM fx_exons")
+def _(c):
+    # Every transcript comes again as version 10, later: the last in order answers for the base, not the greatest text.
+    tx = c.fx.exons.selectExpr("concat('TX', i, '.9') AS tx_id", "i AS line_no").union(c.fx.exons.selectExpr("concat('TX', i, '.10')", "i + 1000000000"))
+    names = c.fx.exons.selectExpr("concat('TX', i) AS rname").distinct()
+    return annotation.resolve_names(names, tx).select("rname", "tx_id")
+
+
 # Inspection
 
 _FLAGSTAT = " UNION ALL ".join(

@@ -73,6 +73,15 @@ def test_exon_merge(spark, rows, merged):
     assert [(r["ex_start"], r["ex_end"]) for r in got] == merged
 
 
+def test_first_seen_row_tells_the_transcript(spark):
+    rows = [("G2", "T", "c2", "-", 50, 60, 1), ("G1", "T", "c1", "+", 10, 20, 2), ("G1", "T", "c1", "+", 55, 70, 3)]
+    df = spark.createDataFrame(rows, "gene_id string, tx_id string, chrom string, strand string, ex_start int, ex_end int, line_no int")
+    merged = annotation.merge_exons(df)
+    assert sorted(tuple(r)[:6] for r in merged.select("gene_id", "tx_id", "chrom", "strand", "ex_start", "ex_end").collect()) == [("G2", "T", "c2", "-", 10, 20), ("G2", "T", "c2", "-", 50, 70)]
+    one = annotation.build_transcripts(df).first()
+    assert (one["gene_id"], one["chrom"], one["strand"]) == ("G2", "c2", "-")
+
+
 def test_resolver(spark):
     tx = spark.createDataFrame([("T.1",), ("T.2",), ("U",)], "tx_id string")
     names = spark.createDataFrame([("T.9",), ("T.1",), ("U.3",), ("V",), (None,)], "rname string")
