@@ -8,7 +8,7 @@ Chunks of CHUNK bytes have a band of their own; the last chunk ends with the tex
 goes if it is out of its band, or more than BAD_CHUNKS of its chunks are out of theirs.
 
 Edge cases: a null or empty text has no words and fails the base rules. Words are parted by the six ASCII white-space
-characters only. Octaves with fewer than LEAST distinct sizes take the nearest octave's limits, a table without any the documented
+characters only. Octaves with fewer than LEAST distinct sizes take the nearest octaves' limits, wider by OUTSIDE an octave beyond the last; a table without any the documented
 BANDS. An empty table gives no rows. Repeated rows are judged each by itself, with one verdict, as are ties; further columns don't
 matter. Texts of any length are read whole; their chunks are compressed one at a time.
 """
@@ -31,6 +31,8 @@ WINDOW = 5
 REACH = 8.0
 SPREAD = 0.01
 LEAST = 50
+#: Beyond the octaves that have limits, the nearest ones widen by so much an octave, as ratios go on changing.
+OUTSIDE = 0.15
 BAD_CHUNKS = 0.2
 #: (log2 of the length, median log ratio, distances to the lower and upper limits) where a table is too small for its own.
 BANDS = ((5.0, 0.14, 0.5, 0.25), (8.0, -0.45, 0.7, 0.35), (11.0, -0.74, 0.7, 0.5), (14.0, -0.87, 0.9, 0.6), (17.0, -0.94, 1.2, 0.65))
@@ -121,7 +123,8 @@ class Limits:
         """Whether texts of so many bytes, compressed to so many, are in their band."""
         x, y = np.log2(np.maximum(1, size)), np.log(np.maximum(1, pressed) / np.maximum(1, size))
         off = y - np.interp(x, self.x, self.mid)
-        return (off >= -np.interp(x, self.x, self.down)) & (off <= np.interp(x, self.x, self.up))
+        beyond = OUTSIDE * np.abs(x - np.clip(x, self.x[0], self.x[-1]))
+        return (off >= -np.interp(x, self.x, self.down) - beyond) & (off <= np.interp(x, self.x, self.up) + beyond)
 
     def chunk_within(self, pressed: np.ndarray) -> np.ndarray:
         """Whether full chunks are in their band."""

@@ -337,6 +337,85 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_quality_bands(spark):
+    gen = random.Random(8)
+    vocab = ["".join(gen.choice("etaoinshrdlu") for _ in range(gen.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(gen.choice(vocab) for _ in range(n))
+    junk = lambda n: " ".join("".join(chr(gen.randint(33, 126)) for _ in range(9)) for _ in range(n // 10))
+    phrases = [prose(4) for _ in range(40)]
+    rows = [(k, prose(gen.randint(60, 1500))) for k in range(700)] + [(5000 + k, rows_) for k, rows_ in enumerate([prose(300)] * 300)]  # a group of copies
+    bad = [junk(900), junk(6000), prose(700) + " " + junk(4000), " ".join(f"{gen.choice(phrases)} {k}" for k in range(300)), " ".join(f"{w}%%%%%%%%" for w in prose(400).split())]
+    df = spark.createDataFrame(rows + [(9000 + k, t) for k, t in enumerate(bad)], "doc_id long, text string").withColumn("kept", F.lit(1))
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert [(k, len(t), got[k]["zstd_ratio"], got[k]["bad_chunk_share"]) for k, t in rows if not got[k]["kept"]] == []
+    assert [got[9000 + k]["kept"] for k in range(len(bad))] == [False] * len(bad)
+    assert not any(got[9000 + k]["base_failed"] for k in (0, 1, 2, 4))  # the bands alone reject these
+    limits = quality_rules.fit_limits(quality_rules.measured(df))
+    for k, t in rows[:50]:  # brute force: whole text and every chunk, the last at the end
+        n, raw = len(t.encode()), t.encode()
+        whole, chunks = quality_rules.compression(raw)
+        parts = [raw] if n <= 2048 else [raw[i : i + 2048] for i in range(0, n - 2048, 2048)] + [raw[-2048:]]
+        assert len(chunks) == len(parts) and limits.passed(n, whole, np.array(chunks)) == got[k]["kept"]
+
+
+@pytest.mark.parametrize("name", ["quality_base", "url_rules", "pii_counts"])
+def test_sql_of_base_columns(spark, name):
+    import duckdb
+
+    from loomspan.llm import queries
+
+    folder, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, folder)
+    want = db.execute(queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in df.select(names).collect())
+
+
+def test_main_text_by_ratios_alone(spark):
+    """No article, no telling names: ratios choose the region."""
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div>Short note.</div><div><h2>Title</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><div>All rights reserved.</div></body>"
+    assert html_extract.main_text(page) == f"Title {LONG.strip()} Yes. {LONG.strip()}"
+    empty = f"<body><nav><a>x</a></nav><article></article><footer>{MORE}</footer></body>"
+    assert html_extract.main_text(empty) == ""
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (3, "u", "<p>" + "word " * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = [(r["page_id"], r["n_chars"]) for r in html_extract.extract_main_text(pages).orderBy("page_id").collect()]
+    n = len(html_extract.main_text(page))
+    assert got == [(1, n), (1, n), (2, 0), (3, 999_999)]
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_complement_index_and_marks():
+    left = np.zeros(1025, np.int64)
+    left[[100, 200, 300, 400]] = 1, 2, 1, 0
+    index = packing.Complements(left)
+    assert index.of(300, 1).tolist() == [[300]] and index.of(400, 2).tolist() == [[200, 200], [300, 100]] and index.of(600, 3).tolist() == [[200, 200, 200], [300, 200, 100]]
+    left[100] = 0
+    assert index.of(400, 2).tolist() == [[200, 200]]
+    plan = packing.plan({700: 3, 224: 3, 100: 3})
+    assert plan[0] == ((700, 224, 100), 3) and sum(n for _, n in plan) == 3
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "no mark here. <|end of text|>"]
+    assert packing.encoder().encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_rows_without_an_id_link_and_bridge(spark):
+    a, b = " ".join(f"w{k}" for k in range(400)), " ".join(f"w{k}" for k in range(400)) + " tail"
+    df = spark.createDataFrame([(1, a), (None, b), (None, b), (None, "alone " * 3), (7, b)], "doc_id long, text string")
+    fps = {t: brute_fingerprint(t) for t in (a, b)}
+    near = bin(fps[a] ^ fps[b]).count("1") <= 3
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1 if near else 7), (None, 1 if near else 7), (None, None), (7, 1 if near else 7)], key=str)
+    kept = simhash.keep_one(df).collect()
+    assert {r["doc_id"] for r in kept} == ({1, None} if near else {1, 7, None}) and sum(r["text"].startswith("alone") for r in kept) == 1
+
+
 def test_lang_id(spark, none):
     text = {"en": "the and of to in is that for with", "de": "der die und ist nicht mit auf schön für", "fr": "le la les des est dans avec pour été"}
     rows = [(3 * k + j, " ".join(rng.choice(text[g].split()) for _ in range(20)), g) for k in range(60) for j, g in enumerate(text)]
