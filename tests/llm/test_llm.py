@@ -517,7 +517,11 @@ def test_pipeline(spark, docs, tmp_path):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     lettered = {i: t for i, t in ROWS if t and any(map(str.isalpha, t))}
     ids = sorted(lettered)
-    root = joined(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(brute_fingerprint(lettered[ids[a]]) ^ brute_fingerprint(lettered[ids[b]])).count("1") <= 3])
+    sets = {}  # the stage's rule: five-word shingles, similarity of 0.8
+    for i in ids:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lettered[i].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = joined(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(sets[ids[a]] & sets[ids[b]]) >= 4 * len(sets[ids[a]] | sets[ids[b]])])
     kept = {ids[k] for k in set(root)}
     clean = {i for i in kept if PASSAGES[1][20:] not in lettered[i]}  # the passages lack at most 20 characters
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == clean
