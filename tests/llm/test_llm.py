@@ -333,7 +333,8 @@ def test_quality_rules(docs, none):
             assert r["n_repeat_words"] == len(cover) and r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
         assert not (r["base_failed"] and r["kept"])
     assert quality_rules.measures("a b\nc\n\na b\n \na b")[3] == 2
-    assert quality_rules.measures("ab " * 10 + "x" * 5000)[6] is False  # repetitive
+    n, whole, chunks = quality_rules.measures("ab " * 10 + "x" * 5000)[6:]
+    assert not quality_rules.Limits().passed(n, whole, np.array(chunks))  # repetitive
     assert quality_rules.quality_rules(none).count() == 0
 
 
