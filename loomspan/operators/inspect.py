@@ -47,14 +47,23 @@ def idxstats(reads: DataFrame, sq: DataFrame) -> DataFrame:
 
 
 def histograms(reads: DataFrame) -> DataFrame:
-    """metric, bucket, n: read length, MAPQ, operations by kind (in bases), GC percent, clipped bases. One scan, one shuffle."""
-    ops = F.expr("transform(_c, c -> named_struct('metric', 'cigar_bases', 'bucket', c.op, 'n', cast(c.len AS bigint)))")
+    """metric, bucket, n: read length, MAPQ, operations by kind (in bases), GC and N percent, clipped bases, splices a record,
+    lengths of introns, insertions and deletions, tags present, mates of paired records, and the nanopore columns end_reason,
+    channel and polya where the table has them. One scan, one shuffle."""
+    ops = F.expr(
+        "flatten(transform(_c, c -> array(named_struct('metric', 'cigar_bases', 'bucket', c.op, 'n', cast(c.len AS bigint)), named_struct('metric', "
+        "CASE c.op WHEN 'N' THEN 'intron' WHEN 'I' THEN 'insertion' WHEN 'D' THEN 'deletion' END, 'bucket', cast(c.len AS string), 'n', 1L))))"
+    )
     one = lambda m, b: F.struct(F.lit(m).alias("metric"), b.cast("string").alias("bucket"), F.lit(1).cast("bigint").alias("n"))
-    gc = F.expr("(length(seq) - length(translate(seq, 'GCgc', ''))) * 100 div length(seq)")
+    share = lambda of: F.expr(f"(length(seq) - length(translate(seq, '{of}', ''))) * 100 div nullif(length(seq), 0)")
     clip = F.expr("aggregate(filter(_c, c -> c.op = 'S'), 0, (a, c) -> a + c.len)")
-    fixed = F.array(one("length", F.length("seq")), one("mapq", F.col("mapq")), one("gc_percent", gc), one("soft_clip", clip))
-    df = reads.withColumn("_c", cigar.parse("cigar")).select(F.inline(F.concat(fixed, F.coalesce(ops, F.array().cast("array<struct<metric:string,bucket:string,n:bigint>>")))))
-    return df.where("bucket IS NOT NULL").groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    fixed = [one("length", F.length("seq")), one("mapq", F.col("mapq")), one("gc_percent", share("GCgc")), one("n_percent", share("Nn")), one("soft_clip", clip)]
+    fixed += [one("splices", F.expr("CASE WHEN _c IS NOT NULL THEN size(filter(_c, c -> c.op = 'N')) END"))]
+    fixed += [one("tag", F.when(F.col(c).isNotNull(), c.upper())) for c in ("nh", "hi", "rg") if c in reads.columns]
+    fixed += [one("mate", F.expr("CASE WHEN (flag & 1) = 0 THEN NULL WHEN (flag & 192) = 64 THEN 'first' WHEN (flag & 192) = 128 THEN 'second' ELSE 'other' END"))]
+    fixed += [one(c, F.col(c)) for c in ("end_reason", "channel", "polya") if c in reads.columns]
+    df = reads.withColumn("_c", cigar.parse("cigar")).select(F.inline(F.concat(F.array(*fixed), F.coalesce(ops, F.array().cast("array<struct<metric:string,bucket:string,n:bigint>>")))))
+    return df.where("metric IS NOT NULL AND bucket IS NOT NULL").groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
 
 
 def tagcheck(reads: DataFrame, tags: tuple[str, ...] = ("seq", "hi", "rg")) -> DataFrame:
@@ -69,6 +78,18 @@ def samples(reads: DataFrame, column: str = "sample") -> DataFrame:
     return reads.select(column).where(F.col(column).isNotNull()).distinct()
 
 
+def read_groups(lines: DataFrame, tag: str = "SM") -> DataFrame:
+    """Distinct values of a tag in the @RG lines (column value) of headers; the lines may hold other records too."""
+    found = lines.where(F.col("value").startswith("@RG\t")).select(F.regexp_extract("value", f"\t{tag}:([^\t]*)", 1).alias(tag.lower()))
+    return found.where(F.col(tag.lower()) != "").distinct()
+
+
+def index_windows(lifted: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """chrom, window, records, first_start and last_end of the records that begin in each window: what a reader needs to tell
+    which part of a table sorted by place to open."""
+    return lifted.groupBy("chrom", F.expr(f"g_start div {width}").alias("window")).agg(F.count("*").alias("records"), F.min("g_start").alias("first_start"), F.max("g_end").alias("last_end"))
+
+
 def checksum(reads: DataFrame, columns: tuple[str, ...] = ("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")) -> DataFrame:
     """records and two digests that no order changes: the sum, wide enough not to overflow, and the exclusive or of row hashes."""
     h = F.xxhash64(*columns)

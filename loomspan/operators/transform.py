@@ -81,6 +81,12 @@ def mark_duplicates(reads: DataFrame, umi: str | None = None, remove: bool = Fal
     return df.withColumn("flag", F.when(F.col("duplicate"), F.col("flag").bitwiseOR(F.lit(1024))).otherwise(F.col("flag")))
 
 
+def duplicate_stats(marked: DataFrame) -> DataFrame:
+    """One row: records, examined (primary, mapped), duplicates among them and their share of the examined (null without any)."""
+    one = marked.agg(F.count("*").alias("records"), F.expr("count_if((flag & 2308) = 0 AND rname IS NOT NULL)").alias("examined"), F.count_if("duplicate").alias("duplicates"))
+    return one.withColumn("rate", F.try_divide("duplicates", "examined"))
+
+
 def _name_share(seed: int) -> Column:
     """A number below 2^28 from the name's md5; mates agree."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("qname"))), 1, 7), 16, 10).cast("bigint")
@@ -124,9 +130,15 @@ def sort_coordinate(lifted: DataFrame, sq: DataFrame) -> DataFrame:
     return lifted.join(F.broadcast(order), "chrom", "left").orderBy(F.col("sq_index").asc_nulls_last(), F.col("g_start").asc_nulls_last(), "aln_id")
 
 
-def sort_name(reads: DataFrame) -> DataFrame:
-    """By name, then first before second reads, then input order."""
-    return reads.orderBy("qname", F.col("flag").bitwiseAND(F.lit(192)), "aln_id")
+def natural_key(name: str) -> Column:
+    """An array that orders names with their runs of digits as numbers: of any length, as their own length leads them."""
+    number = "concat(lpad(length(ltrim('0', x)), 6, '0'), ltrim('0', x))"
+    return F.expr(f"transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+', 0), x -> CASE WHEN x RLIKE '^[0-9]' THEN {number} ELSE x END)")
+
+
+def sort_name(reads: DataFrame, natural: bool = False) -> DataFrame:
+    """By name, then first before second reads, then input order. natural: numbers within names go by value."""
+    return reads.orderBy(*[natural_key("qname")] if natural else [], "qname", F.col("flag").bitwiseAND(F.lit(192)), "aln_id")
 
 
 def collate(reads: DataFrame) -> DataFrame:

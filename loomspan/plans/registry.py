@@ -276,7 +276,12 @@ def _(c):
     """SELECT metric, bucket, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT 'length' AS metric, CAST(length(seq) AS VARCHAR) AS bucket, 1 AS n FROM fx_reads UNION ALL SELECT 'mapq', CAST(mapq AS VARCHAR), 1 FROM fx_reads
        UNION ALL SELECT 'gc_percent', CAST((length(seq) - length(translate(seq, 'GCgc', ''))) * 100 // length(seq) AS VARCHAR), 1 FROM fx_reads
        UNION ALL SELECT 'soft_clip', CAST(COALESCE(list_sum([CAST(left(x, length(x) - 1) AS INT) FOR x IN regexp_extract_all(cigar, '[0-9]+S')]), 0) AS VARCHAR), 1 FROM fx_reads
-       UNION ALL SELECT 'cigar_bases', right(t, 1), CAST(left(t, length(t) - 1) AS BIGINT) FROM (SELECT unnest(regexp_extract_all(cigar, '[0-9]+[A-Z=]')) AS t FROM fx_reads) y) x GROUP BY metric, bucket""",
+       UNION ALL SELECT 'cigar_bases', right(t, 1), CAST(left(t, length(t) - 1) AS BIGINT) FROM (SELECT unnest(regexp_extract_all(cigar, '[0-9]+[A-Z=]')) AS t FROM fx_reads) y
+       UNION ALL SELECT CASE right(t, 1) WHEN 'N' THEN 'intron' WHEN 'I' THEN 'insertion' ELSE 'deletion' END, left(t, length(t) - 1), 1 FROM (SELECT unnest(regexp_extract_all(cigar, '[0-9]+[NID]')) AS t FROM fx_reads) z
+       UNION ALL SELECT 'n_percent', CAST(len(list_filter(string_split(seq, ''), lambda x: x = 'N')) * 100 // length(seq) AS VARCHAR), 1 FROM fx_reads
+       UNION ALL SELECT 'splices', CAST(length(cigar) - length(replace(cigar, 'N', '')) AS VARCHAR), 1 FROM fx_reads
+       UNION ALL SELECT 'tag', 'NH', 1 FROM fx_reads WHERE nh IS NOT NULL UNION ALL SELECT 'tag', 'HI', 1 FROM fx_reads WHERE hi IS NOT NULL UNION ALL SELECT 'tag', 'RG', 1 FROM fx_reads WHERE rg IS NOT NULL
+       UNION ALL SELECT 'mate', CASE WHEN (flag & 64) <> 0 THEN 'first' ELSE 'second' END, 1 FROM fx_reads WHERE (flag & 1) <> 0) x GROUP BY metric, bucket""",
 )
 def _(c):
     return inspect.histograms(c.fx.reads)
@@ -300,6 +305,17 @@ def _(c):
     return inspect.samples(c.fx.reads)
 
 
+@query("samples_rg", "SELECT DISTINCT sample AS sm FROM fx_reads WHERE rg IS NOT NULL")
+def _(c):
+    lines = c.fx.reads.selectExpr("CASE WHEN rg IS NULL THEN concat('@CO\\tSM:', qname) ELSE concat('@RG\\tID:', rg, '\\tSM:', sample, '\\tPL:x') END AS value")
+    return inspect.read_groups(lines)
+
+
+@query("index_windows", 'SELECT chrom, g_start // 16384 AS "window", COUNT(*) AS records, MIN(g_start) AS first_start, MAX(g_end) AS last_end FROM o_lift GROUP BY 1, 2', O.LIFT)
+def _(c):
+    return inspect.index_windows(c.lifted())
+
+
 @query("head_records", "SELECT aln_id, qname, flag, rname, pos, cigar FROM fx_reads ORDER BY aln_id LIMIT 25")
 def _(c):
     return inspect.head(c.fx.reads, 25).select("aln_id", "qname", "flag", "rname", "pos", "cigar")
@@ -349,6 +365,18 @@ def _(c):
     return intervals.coverage(intervals.depth_runs(lifted), lifted, c.sq)
 
 
+@query(
+    "coverage_means",
+    """SELECT s.chrom, ln, COALESCE(records, 0) AS records, CAST(COALESCE(covered, 0) AS BIGINT) AS covered, CAST(COALESCE(depth_sum, 0) AS BIGINT) AS depth_sum, COALESCE(covered, 0) * 100 / ln AS percent, COALESCE(depth_sum, 0) / ln AS mean_depth, mq / records AS mean_mapq
+       FROM (SELECT chrom, CAST(MAX(ex_end) + 1000000 AS BIGINT) AS ln FROM fx_exons GROUP BY chrom) s
+       LEFT JOIN (SELECT chrom, COUNT(*) AS covered, SUM(LEAST(d, 3)) AS depth_sum FROM (SELECT chrom, base, COUNT(*) AS d FROM (SELECT chrom, unnest(range(b_start, b_end)) AS base FROM o_block WHERE (flag & 1796) = 0 AND (flag & 1) = 1 AND mapq >= 20) x GROUP BY ALL) y GROUP BY chrom) USING (chrom)
+       LEFT JOIN (SELECT chrom, COUNT(*) AS records, SUM(mapq) AS mq FROM o_lift WHERE (flag & 1796) = 0 AND (flag & 1) = 1 AND mapq >= 20 GROUP BY chrom) USING (chrom)""",
+    O.BLOCKS,
+)
+def _(c):
+    return intervals.coverage_means(c.lifted(), c.sq, min_mapq=20, required=1, cap=3)
+
+
 @query(
     "bedcov",
     "SELECT b.name, b.chrom, bed_start, bed_end, CAST(COALESCE(SUM((LEAST(bed_end, run_end) - GREATEST(bed_start, run_start)) * depth), 0) AS BIGINT) AS depth_sum, CAST(COALESCE(SUM(CASE WHEN depth >= 5 THEN LEAST(bed_end, run_end) - GREATEST(bed_start, run_start) END), 0) AS BIGINT) AS deep FROM fx_bed b LEFT JOIN o_runs r ON r.chrom = b.chrom AND run_start < bed_end AND run_end > bed_start GROUP BY ALL",
@@ -381,6 +409,39 @@ def _(c):
     return counted.groupBy("gene_id").pivot("sample", ["S0", "S1", "S2"]).agg(F.sum("n")).fillna(0)
 
 
+#: Every aligned base, and every base of every gene.
+_BASES = (
+    *O.BLOCKS,
+    ("o_gb", "SELECT DISTINCT chrom, gene_id, base FROM (SELECT chrom, gene_id, unnest(range(ex_start, ex_end)) AS base FROM fx_exons) x"),
+    ("o_bb", "SELECT b.aln_id, b.chrom, unnest(range(b_start, b_end)) AS base FROM o_block b JOIN o_lift l USING (aln_id) WHERE l.nh = 1"),
+    ("o_pg", "SELECT aln_id, gene_id, COUNT(*) AS n FROM o_bb JOIN o_gb USING (chrom, base) GROUP BY ALL"),
+    ("o_nd", "SELECT aln_id, COUNT(*) AS total, COUNT(*) FILTER (g.base IS NOT NULL) AS inside FROM o_bb LEFT JOIN (SELECT DISTINCT chrom, base FROM o_gb) g USING (chrom, base) GROUP BY aln_id"),
+)
+
+
+def _htseq(mode: str, need: str) -> str:
+    return f"SELECT '{mode}' AS mode, status, COUNT(*) AS n, COUNT(DISTINCT gene_id) AS genes FROM (SELECT l.aln_id, CASE WHEN l.nh > 1 THEN 'Unassigned_MultiMapping' WHEN k IS NULL THEN 'Unassigned_NoFeatures' WHEN k > 1 THEN 'Unassigned_Ambiguity' ELSE 'Assigned' END AS status, CASE WHEN l.nh = 1 AND k = 1 THEN lo END AS gene_id FROM o_lift l LEFT JOIN (SELECT aln_id, COUNT(*) AS k, MIN(gene_id) AS lo FROM o_pg JOIN o_nd USING (aln_id) WHERE n = {need} GROUP BY aln_id) g USING (aln_id)) x GROUP BY status"
+
+
+@query("count_htseq", f"{_htseq('intersection-strict', 'total')} UNION ALL {_htseq('intersection-nonempty', 'inside')}", _BASES)
+def _(c):
+    lifted = c.lifted()
+    one = lambda m: intervals.assign_genes(lifted, c.exons, mode=m).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("gene_id").alias("genes")).select(F.lit(m).alias("mode"), "status", "n", "genes")
+    return one("intersection-strict").unionByName(one("intersection-nonempty"))
+
+
+@query(
+    "count_fragments",
+    """SELECT lo AS tx_id, sample, COUNT(*) AS n FROM (SELECT f, sample, BOOL_OR(nh > 1) AS m, MIN(t) AS lo, MAX(t) AS hi2 FROM (
+         SELECT CASE WHEN (l.flag & 1) <> 0 THEN 'p' || l.sample || ':' || l.qname || ':' || CAST(COALESCE(l.hi, 0) AS VARCHAR) ELSE CAST(l.aln_id AS VARCHAR) END AS f, l.sample, l.nh, CASE WHEN l.nh = 1 THEN e.tx_id END AS t
+         FROM o_lift l LEFT JOIN o_block b USING (aln_id) LEFT JOIN fx_exons e ON e.chrom = b.chrom AND e.ex_start < b.b_end AND e.ex_end > b.b_start AND (e.strand = '-') = (((l.flag & 16) <> 0) <> ((l.flag & 129) = 129))) x GROUP BY ALL) y WHERE NOT m AND lo = hi2 GROUP BY ALL""",
+    O.BLOCKS,
+)
+def _(c):
+    assigned = intervals.assign_genes(c.lifted(), c.exons, stranded=1, by_pair=True, attribute="tx_id")
+    return intervals.count_genes(assigned, "tx_id")
+
+
 _JUNCTIONS = (
     *O.BLOCKS,
     ("o_j", "SELECT chrom, b_start + 1 AS j_start, b_end AS j_end, CASE WHEN (flag & 16) = 0 THEN '+' ELSE '-' END AS strand, COUNT(*) AS support FROM o_at WHERE op = 'N' AND (flag & 2304) = 0 GROUP BY ALL"),
@@ -421,6 +482,20 @@ def _(c):
     return intervals.motif(intervals.junctions(c.lifted()), c.genome).select("chrom", "j_start", "j_end", "strand", "motif", "motif_strand")
 
 
+_SOURCES = (
+    *_JUNCTIONS,
+    _ENDS,
+    ("o_jr", "SELECT a.chrom, a.b_start + 1 AS j_start, a.b_end AS j_end, CASE WHEN (g_flag & 16) = 0 THEN '+' ELSE '-' END AS fs, CASE WHEN nh > 1 THEN CASE WHEN (nh = 2) = ((g_flag & 16) = 0) THEN '+' ELSE '-' END END AS ts FROM o_at a JOIN o_lift l USING (aln_id) WHERE a.op = 'N' AND (g_flag & 2304) = 0"),
+    ("o_mo", "SELECT DISTINCT chrom, j_start, j_end, CASE WHEN m IN ('GT-AG', 'CT-AC') THEN 'GT-AG' WHEN m IN ('GC-AG', 'CT-GC') THEN 'GC-AG' WHEN m IN ('AT-AC', 'GT-AT') THEN 'AT-AC' ELSE 'non-canonical' END AS motif, CASE WHEN m IN ('GT-AG', 'GC-AG', 'AT-AC') THEN '+' WHEN m IN ('CT-AC', 'CT-GC', 'GT-AT') THEN '-' END AS ms FROM o_m"),
+)
+
+
+@query("junctions_strand", "SELECT chrom, j_start, j_end, COALESCE(ms, ts, fs) AS strand, CASE WHEN ms IS NOT NULL THEN 'motif' WHEN ts IS NOT NULL THEN 'ts' ELSE 'flag' END AS strand_src, motif, COUNT(*) AS support, j_end - j_start + 1 AS intron_len FROM o_jr JOIN o_mo USING (chrom, j_start, j_end) GROUP BY ALL", _SOURCES)
+def _(c):
+    lifted = c.lifted().withColumns({"flag": F.col("g_flag"), "ts": F.expr("CASE nh WHEN 2 THEN '+' WHEN 3 THEN '-' END")})
+    return intervals.stranded_junctions(lifted, c.genome)
+
+
 # Manipulation
 
 
@@ -453,6 +528,14 @@ def _(c):
     return transform.mark_duplicates(c.fx.reads).select("aln_id", "flag", "duplicate")
 
 
+@query(
+    "dedup_stats",
+    "SELECT COUNT(*) AS records, COUNT(*) FILTER (p) AS examined, COUNT(*) FILTER (p AND rn > 1) AS duplicates, COUNT(*) FILTER (p AND rn > 1) / COUNT(*) FILTER (p) AS rate FROM (SELECT (flag & 2308) = 0 AS p, ROW_NUMBER() OVER (PARTITION BY rname, pos, cigar, flag & 16, (flag & 2308) = 0 ORDER BY aln_id) AS rn FROM fx_reads) x",
+)
+def _(c):
+    return transform.duplicate_stats(transform.mark_duplicates(c.fx.reads))
+
+
 @query("subsample_rate", "SELECT aln_id FROM fx_reads WHERE CAST('0x' || substr(md5('7:' || qname), 1, 7) AS BIGINT) < CAST(0.3 * 268435456 AS BIGINT)")
 def _(c):
     return transform.subsample(c.fx.reads, 0.3, 7).select("aln_id")
@@ -638,10 +721,22 @@ def _header(c) -> tuple[list[str], list[int]]:
     return names, [1000] * len(names)
 
 
-@query("bam_roundtrip", "SELECT qname, flag, CASE WHEN rname = 'TXMISSING' THEN NULL ELSE rname END AS rname, pos, mapq, cigar, seq, qual, 'i:' || CAST(nh AS VARCHAR) AS nh FROM fx_reads")
+_KEPT = ("NH", "HI", "RG", "XA", "XB", "XF", "XI", "XZ")
+
+
+@query(
+    "bam_roundtrip",
+    """SELECT qname, flag, CASE WHEN rname = 'TXMISSING' THEN NULL ELSE rname END AS rname, pos, mapq, cigar, CASE WHEN (flag & 1) <> 0 AND rname <> 'TXMISSING' THEN rname END AS rnext, CAST(CASE WHEN (flag & 1) <> 0 THEN pos + 7 ELSE -1 END AS INT) AS pnext, CAST(CASE WHEN (flag & 16) <> 0 THEN -mapq ELSE mapq END AS INT) AS tlen, seq, qual, sample,
+       'i:' || CAST(nh AS VARCHAR) AS nh, 'i:' || CAST(hi AS VARCHAR) AS hi, 'Z:' || rg AS rg, 'A:x' AS xa, 'B:s,' || CAST(pos AS VARCHAR) || ',-' || CAST(mapq + 1 AS VARCHAR) AS xb, 'f:0.5' AS xf, 'i:4000000000' AS xi, 'Z:' || qname AS xz FROM fx_reads""",
+)
 def _(c):
-    back = bam.decode(bam.encode(c.fx.reads, *_header(c)))
-    return back.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", F.try_element_at("tags", F.lit("NH")).alias("nh"))
+    tags = "map('XA', 'A:x', 'XB', concat('B:s,', pos, ',-', mapq + 1), 'XF', 'f:0.5', 'XI', 'i:4000000000', 'XZ', concat('Z:', qname))"
+    mates = {"rnext": "CASE WHEN (flag & 1) <> 0 THEN CASE WHEN (flag & 64) <> 0 THEN '=' ELSE rname END END", "pnext": "CASE WHEN (flag & 1) <> 0 THEN pos + 7 END", "tlen": "CASE WHEN (flag & 16) <> 0 THEN -mapq ELSE mapq END", "tags": tags}
+    reads, header = c.fx.reads.withColumns({k: F.expr(v) for k, v in mates.items()}), _header(c)
+    # A file for each sample, whose path names it.
+    back = [bam.decode(bam.encode(reads.where(F.col("sample") == s), *header).withColumn("path", F.lit(f"runs/{s}.genome.bam")).withColumn("_sample", bam.sample_of("path")), sample="_sample") for s in ("S0", "S1", "S2")]
+    got = back[0].unionByName(back[1]).unionByName(back[2])
+    return got.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "sample", *[F.try_element_at("tags", F.lit(t)).alias(t.lower()) for t in _KEPT])
 
 
 @query("quickcheck", "SELECT * FROM (VALUES ('cut', false), ('headless', false), ('whole', true)) AS v(path, ok)")

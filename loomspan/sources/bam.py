@@ -1,5 +1,6 @@
 """BAM as DataFrames: BGZF blocks and records by the standard library, in Arrow batches. Files come and go as binary columns, so
-any store that Spark reads will do; a file is one task's work, as its records have no marks to start in the middle from."""
+any store that Spark reads will do; a file is one task's work, as its records have no marks to start in the middle from. Tags are a
+map of name to type and value, as in SAM text ("i:3", "Z:a", "B:C,1,2"); writing and reading keep all of them."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the BAM specification.
@@ -50,7 +51,17 @@ def deflate(raw: bytes) -> bytes:
 
 
 def _tags(raw: bytes) -> list[tuple[str, str]]:
-    out, k = [], 0
+    """The tags up to the first that can't be read."""
+    out: list[tuple[str, str]] = []
+    try:
+        _read_tags(raw, out)
+    except (ValueError, KeyError, IndexError, struct.error):
+        pass
+    return out
+
+
+def _read_tags(raw: bytes, out: list[tuple[str, str]]) -> None:
+    k = 0
     while k + 3 <= len(raw):
         name, kind = raw[k : k + 2].decode(), chr(raw[k + 2])
         k += 3
@@ -69,7 +80,22 @@ def _tags(raw: bytes) -> list[tuple[str, str]]:
             k += struct.calcsize(_SIZES[kind])
             kind = kind if kind == "f" else "i"
         out.append((name, f"{kind}:{value}"))
-    return out
+
+
+def _tag_bytes(name: str, text: str) -> bytes:
+    kind, _, value = text.partition(":")
+    if kind == "i":
+        return name.encode() + (b"I" + struct.pack("<I", int(value)) if int(value) > 0x7FFFFFFF else b"i" + struct.pack("<i", int(value)))
+    if kind == "f":
+        return name.encode() + b"f" + struct.pack("<f", float(value))
+    if kind == "A":
+        return name.encode() + b"A" + value.encode()[:1]
+    if kind == "B":
+        sub, *items = value.split(",")
+        return name.encode() + b"B" + sub.encode() + struct.pack(f"<I{len(items)}{_SIZES[sub][1]}", len(items), *(map(float if sub == "f" else int, items)))
+    if kind in ("Z", "H"):
+        return name.encode() + kind.encode() + value.encode() + b"\0"
+    raise ValueError(f"tag {name} has no type that BAM knows: {text}")
 
 
 def records(raw: bytes) -> Iterator[tuple]:
@@ -113,22 +139,39 @@ def records(raw: bytes) -> Iterator[tuple]:
         yield body[32 : 31 + ln].decode(), flag, ref(rid), pos, mapq, text or None, ref(nid), npos, tlen, seq or None, None if not n_seq or qual[0] == 255 else bytes(q + 33 for q in qual).decode("latin-1"), _tags(body[at + n_seq :])
 
 
-def decode(files: DataFrame, column: str = "content") -> DataFrame:
-    """The records of files held in a binary column."""
+def decode(files: DataFrame, column: str = "content", sample: str | None = None) -> DataFrame:
+    """The records of files held in a binary column, with the files' sample if a column names it."""
+
+    def batch(rows: list[tuple], of: str | None) -> pa.RecordBatch:
+        made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)]
+        if sample:
+            made.append(pa.array([of] * len(rows), pa.string()))
+        return pa.RecordBatch.from_arrays(made, names=_NAMES + ["sample"] * bool(sample))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0):
-                rows = []
+            for k, raw in enumerate(b.column(0)):
+                of, rows = b.column(1)[k].as_py() if sample else None, []
                 for r in records(raw.as_py()):
                     rows.append(r)
                     if len(rows) == 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=_NAMES)
+                        yield batch(rows, of)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=_NAMES)
+                    yield batch(rows, of)
+
+    return files.select(column, *[sample] * bool(sample)).mapInArrow(read, SCHEMA + ", sample string" * bool(sample))
+
+
+def sample_of(path: str) -> Column:
+    """The sample that a file's path names: its last part up to the first dot."""
+    return F.regexp_extract(path, r"([^/.]+)[^/]*$", 1)
+
 
-    return files.select(column).mapInArrow(read, SCHEMA)
+def read_batch(spark: SparkSession, directory: str) -> DataFrame:
+    """The records of every BAM file of a directory, each with the sample of its path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(directory)
+    return decode(files.withColumn("_sample", sample_of("path")), sample="_sample")
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
@@ -149,14 +192,19 @@ def _record(row: dict, index: dict[str, int]) -> bytes:
     packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
     qual = bytes(ord(q) - 33 for q in row["qual"]) if row["qual"] else b"\xff" * len(seq)
     name = row["qname"].encode() + b"\0"
-    tags = b"".join(t.encode() + (b"i" + struct.pack("<i", row[c]) if isinstance(row[c], int) else b"Z" + row[c].encode() + b"\0") for c, t in (("nh", "NH"), ("hi", "HI"), ("rg", "RG")) if row.get(c) is not None)
-    body = struct.pack("<iiBBHHHiiii", index.get(row["rname"], -1), -1 if row["pos"] is None else row["pos"], len(name), row["mapq"], 4680, len(ops), row["flag"], len(seq), -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
+    named = {t: f"{'i' if isinstance(row[c], int) else 'Z'}:{row[c]}" for c, t in (("nh", "NH"), ("hi", "HI"), ("rg", "RG")) if row.get(c) is not None}
+    tags = b"".join(_tag_bytes(t, v) for t, v in ({t: v for t, v in row.get("tags") or () if v is not None} | named).items())
+    at = lambda c: -1 if row.get(c) is None else row[c]
+    mate = row["rname"] if row.get("rnext") == "=" else row.get("rnext")
+    body = struct.pack("<iiBBHHHiiii", index.get(row["rname"], -1), at("pos"), len(name), row["mapq"], 4680, len(ops), row["flag"], len(seq), index.get(mate, -1), at("pnext"), row.get("tlen") or 0)
+    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
     return struct.pack("<i", len(body)) + body
 
 
 def encode(reads: DataFrame, names: list[str], lengths: list[int], batch: int = 50_000) -> DataFrame:
-    """content: BAM files of at most `batch` records each. names: the header's sequences, which the records' rname index."""
-    wanted = [c for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "nh", "hi", "rg") if c in reads.columns]
+    """content: BAM files of at most `batch` records each, with mate fields and all tags (columns nh, hi and rg go before those of
+    the map). names: the header's sequences, which the records' rname and rnext index."""
+    wanted = [c for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "nh", "hi", "rg", "tags") if c in reads.columns]
     index = {n: k for k, n in enumerate(names)}
     text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{x}\n" for n, x in zip(names, lengths, strict=True))
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", x) for n, x in zip(names, lengths, strict=True))
