@@ -133,7 +133,7 @@ def sort_coordinate(lifted: DataFrame, sq: DataFrame) -> DataFrame:
 def natural_key(name: str) -> Column:
     """An array that orders names with their runs of digits as numbers: of any length, as their own length leads them."""
     number = "concat(lpad(length(ltrim('0', x)), 6, '0'), ltrim('0', x))"
-    return F.expr(f"transform(regexp_extract_all({name}, '[0-9]+|[^0-9]+', 0), x -> CASE WHEN x RLIKE '^[0-9]' THEN {number} ELSE x END)")
+    return F.expr(f"transform(regexp_extract_all({name}, '[0-9]+|[^0-9]', 0), x -> CASE WHEN x RLIKE '^[0-9]' THEN {number} ELSE x END)")
 
 
 def sort_name(reads: DataFrame, natural: bool = False) -> DataFrame:
@@ -245,16 +245,18 @@ def recover_tags(reads: DataFrame) -> DataFrame:
 
 
 def calmd(lifted: DataFrame, genome: DataFrame, width: int = 64) -> DataFrame:
-    """aln_id, md, nm against genome (chrom, bin, seq), which is joined by the tiles under each record; a record's tiles meet by
-    its id. Bases are compared inside the record, run lengths told by where mismatches and deletions lie."""
+    """aln_id, md, nm against genome (chrom, bin, seq), which is joined by the tiles under each record's blocks (not its introns); a
+    record's tiles meet by its id. Bases are compared inside the record, run lengths told by where mismatches and deletions lie."""
     df = lifted.where("g_cigar IS NOT NULL AND seq IS NOT NULL").withColumn("_c", cigar.parse("g_cigar"))
-    tiles = df.select("aln_id", "chrom", F.explode(F.expr(f"array_distinct(flatten(transform(sequence(g_start div {width}, (g_end - 1) div {width}), b -> array(b))))")).alias("bin"))
-    text = tiles.join(genome, ["chrom", "bin"], "left").groupBy("aln_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.coalesce("seq", F.repeat(F.lit("N"), F.lit(width)))))).alias("_g"))
     from loomspan.functions.arrays import with_running_sums
 
     df = df.withColumn("_r", F.expr("transform(_c, c -> CASE WHEN instr('MDN=X', c.op) > 0 THEN cast(c.len AS bigint) ELSE 0L END)"))
     df = df.withColumn("_q", F.expr("transform(_c, c -> CASE WHEN instr('MIS=X', c.op) > 0 THEN cast(c.len AS bigint) ELSE 0L END)"))
-    df = with_running_sums(with_running_sums(df, "_r", "_re"), "_q", "_qe").join(text, "aln_id")
+    df = with_running_sums(with_running_sums(df, "_r", "_re"), "_q", "_qe")
+    under = f"transform(_c, (c, k) -> CASE WHEN c.op <> 'N' AND _r[k] > 0 THEN sequence((g_start + _re[k] - _r[k]) div {width}, (g_start + _re[k] - 1) div {width}) ELSE array() END)"
+    tiles = df.select("aln_id", "chrom", F.explode(F.expr(f"CASE WHEN size(_re) > 0 THEN array_distinct(flatten({under})) END")).alias("bin"))
+    text = tiles.join(genome, ["chrom", "bin"], "left").groupBy("aln_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.coalesce("seq", F.repeat(F.lit("N"), F.lit(width)))))).alias("_g"))
+    df = df.join(text, "aln_id")
     base = f"substr(_g[(g_start + _re[k] - _r[k] + j) div {width}], cast((g_start + _re[k] - _r[k] + j) % {width} AS int) + 1, 1)"
     made = (
         "flatten(transform(_c, (c, k) -> CASE WHEN c.op IN ('M', '=', 'X') THEN transform(sequence(0, c.len - 1), j -> "

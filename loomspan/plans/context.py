@@ -41,9 +41,10 @@ class Context:
         names = _once(self, "names", lambda: annotation.resolve_names(self.fx.reads, self.exons))
         return admission.resolved(self.fx.reads, names)
 
-    def lifted(self, **options) -> DataFrame:
-        """Converted records only."""
-        admitted = admission.with_status(self.reads).where("status = 'admitted'").drop("status")
+    def lifted(self, sequences: bool = False, **options) -> DataFrame:
+        """Converted records only. The optimiser can't prune columns through the lift's generator, so bases and qualities are left
+        out before it unless they are asked for."""
+        admitted = admission.with_status(self.reads).where("status = 'admitted'").drop("status", *[] if sequences else ["seq", "qual"])
         return lift.lift(admitted, self.tx, **options).where("status = 'converted'")
 
     def restored(self, cross: bool, flag: str = "flag") -> DataFrame:

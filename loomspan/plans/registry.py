@@ -132,7 +132,7 @@ def _(c):
     O.LIFT,
 )
 def _(c):
-    return c.lifted().select("aln_id", "g_flag", "g_seq", "g_qual")
+    return c.lifted(sequences=True).select("aln_id", "g_flag", "g_seq", "g_qual")
 
 
 @query(
@@ -649,7 +649,7 @@ _MD = (
 
 @query("calmd_nm", "SELECT a.aln_id, CAST(x.n + COALESCE(i.n, 0) AS INT) AS nm FROM (SELECT aln_id, SUM(CASE WHEN op = 'D' OR q <> r THEN 1 ELSE 0 END) AS n FROM o_cmp GROUP BY aln_id) x JOIN o_lift a USING (aln_id) LEFT JOIN (SELECT aln_id, SUM(len) AS n FROM o_al WHERE op = 'I' GROUP BY aln_id) i USING (aln_id)", _MD)
 def _(c):
-    return transform.calmd(c.lifted(), c.genome).select("aln_id", "nm")
+    return transform.calmd(c.lifted(sequences=True), c.genome).select("aln_id", "nm")
 
 
 # Tags. Every read gets two calls of m and h on C, and one of a on A.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import cigar, flags
 from loomspan.functions.sequence import gtf_attribute, reverse_complement
-from loomspan.operators import admission, annotation, inspect, lift, mods, pairs, transform
+from loomspan.operators import admission, annotation, inspect, intervals, lift, mods, pairs, transform
 from loomspan.sources import bam, text
 
 EXONS = [("G", t, "chr1", s, a, b) for t, s in (("P", "+"), ("M", "-")) for a, b in ((100, 110), (200, 220), (300, 305))]
@@ -168,3 +168,62 @@ def test_mod_calls(spark):
     got = [r["mods"] for r in mods.with_mods(df).collect()]
     assert got == [{"m": [1, 3], "h": [2, 4], "a": [9]}, {"m": [7, 8, 9], "17802": [200]}, None, {}, {"m": [5]}, None]
     assert transform.min_mod_fraction(mods.with_mods(df), "pseU", 0.7).count() == 1
+
+
+def test_natural_name_order(spark):
+    names = ["r10", "r9", "r010x", "a100b2", "a100b10", "r", "a#1", "r123456789012345678901234567890", ""]
+    df = spark.createDataFrame([(n, 0, k) for k, n in enumerate(names)], "qname string, flag int, aln_id long")
+    got = [r["qname"] for r in transform.sort_name(df, natural=True).collect()]
+    assert got == ["", "a#1", "a100b2", "a100b10", "r", "r9", "r10", "r010x", "r123456789012345678901234567890"]
+
+
+def test_corrupt_tags_are_read_as_far_as_they_go():
+    assert bam._tags(b"NHC\x02" + b"XBBi\xff\xff\xff\xff" + b"XAAx") == [("NH", "i:2")]
+    assert bam._tags(b"NHC\x02" + b"XZZno end") == [("NH", "i:2")]
+    with pytest.raises(ValueError):
+        bam._tag_bytes("XX", "q:1")
+
+
+def test_batch_of_files(spark, tmp_path):
+    rows = [("r1", 99, "c1", 5, 60, "4M", "=", 20, 19, "ACGT", None, {"ts": "A:+"}), ("r2", 0, "c1", 5, 60, "4M", None, None, None, "ACGT", None, None)]
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>"
+    for k, name in enumerate(("s1.genome.bam", "s2.bam", "s3.txt")):
+        raw = bam.encode(spark.createDataFrame(rows[: k + 1], schema).coalesce(1), ["c1"], [100]).first()["content"]
+        (tmp_path / name).write_bytes(bytes(raw))
+    got = sorted(bam.read_batch(spark, str(tmp_path)).collect(), key=lambda r: (r["sample"], r["qname"]))
+    assert [(r["sample"], r["qname"], r["rnext"], r["pnext"], r["tlen"], dict(r["tags"])) for r in got] == [("s1", "r1", "c1", 20, 19, {"ts": "A:+"}), ("s2", "r1", "c1", 20, 19, {"ts": "A:+"}), ("s2", "r2", None, -1, 0, {})]
+
+
+def test_counting_modes_and_fragments(spark):
+    exons = spark.createDataFrame([("A", "c", "+", 0, 100), ("A", "c", "+", 50, 120), ("B", "c", "-", 110, 200), ("C", "c", "+", 300, 400)], "gene_id string, chrom string, strand string, ex_start long, ex_end long")
+    schema = "aln_id long, qname string, sample string, chrom string, flag int, mapq int, nh int, hi int, g_start long, g_cigar string"
+    lifted = spark.createDataFrame(
+        [(0, "a", "s", "c", 0, 9, 1, 0, 90, "15M"), (1, "b", "s", "c", 0, 9, 1, 0, 100, "30M"), (2, "c", "s", "c", 0, 9, 1, 0, 390, "20M"), (3, "d", "s", "c", 99, 9, 1, 0, 10, "20M"), (4, "d", "s", "c", 147, 9, 1, 0, 60, "20M"), (5, "e", "s", "c", 0, 9, 2, 0, 10, "20M"), (6, "f", "s", "c", 0, 9, 1, 0, 250, "9M")],
+        schema,
+    )
+    at = lambda **o: {r[0]: (r["status"], r["gene_id"]) for r in intervals.assign_genes(lifted, exons, **o).collect()}
+    none, both = ("Unassigned_NoFeatures", None), ("Unassigned_Ambiguity", None)
+    union, strict, nonempty = at(), at(mode="intersection-strict"), at(mode="intersection-nonempty")
+    assert (union[0], union[1], union[2], union[6]) == (("Assigned", "A"), both, ("Assigned", "C"), none)
+    assert (strict[0], strict[1], strict[2], strict[6]) == (("Assigned", "A"), none, none, none)
+    assert (nonempty[0], nonempty[1], nonempty[2], nonempty[6]) == (("Assigned", "A"), none, ("Assigned", "C"), none)
+    assert strict[5][0] == "Unassigned_MultiMapping" and at(multi=True)[5] == ("Assigned", "A")
+    fragments = at(by_pair=True, stranded=1)
+    assert fragments["p:s:d:0"] == ("Assigned", "A") and len(fragments) == 6  # the second read lies the other way
+    assert at(stranded=1)[4] == none
+    with pytest.raises(ValueError):
+        intervals.assign_genes(lifted, exons, mode="other")
+
+
+def test_junction_strand_without_a_genome(spark):
+    df = spark.createDataFrame([("c", 0, 9, 10, "5M10N5M", "+"), ("c", 16, 9, 10, "5M10N5M", "+"), ("c", 16, 9, 10, "5M10N5M", None)], "chrom string, flag int, mapq int, g_start long, g_cigar string, ts string")
+    got = intervals.stranded_junctions(df).orderBy("strand", "strand_src").collect()
+    assert [(r["j_start"], r["j_end"], r["strand"], r["strand_src"], r["support"], r["motif"]) for r in got] == [(16, 25, "+", "ts", 1, None), (16, 25, "-", "flag", 1, None), (16, 25, "-", "ts", 1, None)]
+    assert {r["strand_src"] for r in intervals.stranded_junctions(df.drop("ts")).collect()} == {"flag"}
+
+
+def test_histograms_of_sparse_and_nanopore_records(spark):
+    df = spark.createDataFrame([(0, 5, None, "", "a"), (0, 5, "3M2N1I4M", "ACGNNACG", None)], "flag int, mapq int, cigar string, seq string, channel string")
+    got = {(r["metric"], r["bucket"]): r["n"] for r in inspect.histograms(df).collect()}
+    assert got[("channel", "a")] == 1 and got[("n_percent", "25")] == 1 and got[("intron", "2")] == 1 and got[("splices", "1")] == 1 and got[("cigar_bases", "M")] == 7
+    assert not any(m in ("mate", "tag") for m, _ in got)

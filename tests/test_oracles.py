@@ -8,7 +8,7 @@ import pytest
 from loomspan.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-SOME = "gtf_exon_merge tx_offsets admission_status_counts lift_core lift_cigar lift_tags pairs_cross_tx pair_summary pairs_records pairs_ambiguous pairs_unpaired bedcov_unnamed inject_repeated id_resolve_collisions gene_list_filter flagstat depth_runs bedcov count_genes count_htseq count_fragments coverage_means stats_hist samples_rg index_windows junctions_support junctions_strand bam_roundtrip dedup_stats dedup_mark fixmate sam_text_roundtrip quickcheck mod_calls tag_surgery".split()
+SOME = "gtf_exon_merge tx_offsets admission_status_counts lift_core lift_cigar lift_tags pairs_cross_tx pair_summary pairs_records pairs_ambiguous pairs_unpaired bedcov_unnamed inject_repeated id_resolve_collisions gene_list_filter flagstat depth_runs bedcov count_genes count_htseq count_fragments coverage_means stats_hist samples_rg index_windows junctions_support junctions_strand bam_roundtrip dedup_stats dedup_mark fixmate sam_text_roundtrip quickcheck calmd_nm lift_revcomp mod_calls tag_surgery".split()
 
 
 @pytest.fixture(scope="module")
