@@ -6,8 +6,11 @@ n - ceil(LEAST * n) + 1 of each, in any order that all documents use; so documen
 and no pair is lost. The order is by hash, with the shingles that are frequent in a sample of documents last, which keeps buckets
 small: the sample changes cost, never results. A first round takes the bit-sliced SimHash links and ties each bucket's rows to one
 of them, a second to its most central one; a third compares only rows that are still in different components, by sizes and by how
-many shingles can still be common. What remains is confirmed by the exact similarity of the texts. Large buckets are dealt over tasks by pairs of slices,
-without a cap.
+many shingles can still be common. Large buckets are dealt over tasks by pairs of slices, without a cap.
+
+Rows of a bucket that share little else are many, and their number grows faster than the table, so no text moves for them: parities
+of the hashes, about a bit a shingle, bound from below in how many shingles two sets differ, which drops a pair only where LEAST is
+out of reach. What remains is confirmed by the exact similarity of the texts, and only texts of such pairs are shuffled.
 
 Edge cases: words are lower-cased in ASCII and parted at ASCII blanks, as in simhash; a text of fewer words than a shingle is one
 shingle; null, empty and blank texts have none and are copies of each other. Rows that share a doc_id are one document, as are rows
@@ -77,7 +80,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes(t).view(np.int64))], names=["token"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, every))) == 0).select("text").mapInArrow(hashed, "token long")
-    top = part.groupBy("token").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+    top = written(part.groupBy("token").count().where(F.col("count") >= FREQUENT), "frequent").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
     token, n = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
     by = np.argsort(token)
     return token[by], n[by]
@@ -94,6 +97,23 @@ def ordered(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.concatenate([h[~known], last[np.argsort(n[at[known]], kind="stable")]])
 
 
+def parities(h: np.ndarray) -> bytes:
+    """A bit for each value of the lowest bits of a hash: whether an odd number of hashes has it. At least as many bits as hashes."""
+    size = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many hashes the sets of two parities differ at least. The longer is folded: fewer of the lowest bits tell values apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(a, "little")).bit_count()
+
+
 def majority(h: np.ndarray) -> int:
     """SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
     if not len(h):
@@ -103,8 +123,8 @@ def majority(h: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, fp (a hash of the set of shingles), bits (its SimHash), n (its size) and the shingles of its prefix, of every row;
-    one narrow pass."""
+    """doc_id, key, fp (a hash of the set of shingles), bits (its SimHash), n (its size), its parities and the shingles of its prefix,
+    of every row; one narrow pass."""
     often = frequent(docs)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +137,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, first)])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(map(majority, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), prefix],
-                    names=["doc_id", "key", "fp", "bits", "n", "prefix"],
+                    [part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(map(majority, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary()), prefix],
+                    names=["doc_id", "key", "fp", "bits", "n", "parity", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.selectExpr("doc_id", f"{ROW_KEY} AS key", "text").mapInArrow(made, f"doc_id {kind}, key string, fp long, bits long, n long, prefix array<long>")
+    return docs.selectExpr("doc_id", f"{ROW_KEY} AS key", "text").mapInArrow(made, f"doc_id {kind}, key string, fp long, bits long, n long, parity binary, prefix array<long>")
 
 
 def _by_bucket(df: DataFrame, keys: int, solve, schema: str) -> DataFrame:
@@ -201,11 +221,26 @@ def _open_pairs(cols, start, size):
         live = live[left[live] >= d]
 
 
+def _within_reach(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of the pairs u, v (of fps) those that can be alike by their parities, with the keys ku, kv of a document for each."""
+    own = reps.select("fp", "key", "n", "parity")
+    both = pairs.join(own.toDF("u", "ku", "nu", "pu"), "u").join(own.toDF("v", "kv", "nv", "pv"), "v").select("u", "v", "ku", "kv", "nu", "nv", "pu", "pv")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.fromiter(map(differing, b.column(6).to_pylist(), b.column(7).to_pylist()), np.int64, b.num_rows)
+            total = b.column(4).to_numpy() + b.column(5).to_numpy()
+            yield b.select(["u", "v", "ku", "kv"]).filter(pa.array(far * sum(LEAST) <= total * (LEAST[1] - LEAST[0])))
+
+    return written(both.mapInArrow(kept, "u long, v long, ku string, kv string"), "within_reach")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs u, v (of fps) whose texts are alike; reps has the key of a document for each fp."""
-    texts = docs.selectExpr(f"{ROW_KEY} AS key", "text")
-    key = reps.select("fp", "key")
-    pairs = pairs.join(key.withColumnsRenamed({"fp": "u", "key": "ku"}), "u").join(key.withColumnsRenamed({"fp": "v", "key": "kv"}), "v")
+    pairs = _within_reach(pairs, reps)
+    wanted = pairs.select(F.explode(F.array(F.xxhash64("ku"), F.xxhash64("kv"))).alias("h")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_LARGE else wanted
+    texts = docs.selectExpr(f"{ROW_KEY} AS key", "text").join(wanted, F.xxhash64("key") == F.col("h"), "left_semi")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, set()
@@ -225,7 +260,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Edges u, v between the fps of reps (fp, key, bits, n, prefix) that connect exactly what similarity links."""
+    """Edges u, v between the fps of reps (fp, key, bits, n, parity, prefix) that connect exactly what similarity links."""
     tokens = reps.select(F.col("fp").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     large = written(tokens.groupBy("token").count().where(F.col("count") > chunk).select("token", F.ceil(F.col("count") / chunk).cast("int").alias("slices")), "large")
     few = F.broadcast(large) if large.count() <= MOST_LARGE else large
@@ -248,7 +283,7 @@ def links(reps: DataFrame, docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "n", "pos", "comp")
     rows = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "node")
     more = _by_bucket(rows, 3, _open_pairs, "u long, v long").distinct().join(near.union(second), ["u", "v"], "left_anti")
-    return found.union(_confirmed(written(more, "pairs"), reps, docs))
+    return found.union(_confirmed(more, reps, docs))
 
 
 def _with_slices(rows: DataFrame, found: DataFrame, large: DataFrame) -> DataFrame:
@@ -261,7 +296,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with their fp, and the leaders."""
     sets = written(prefixes(docs), "prefixes")
     least = sets.groupBy("fp").agg(F.min("key").alias("key"))  # rows that are alike in both are one node, so they do no harm
-    reps = written(sets.join(least, ["fp", "key"], "left_semi").select("fp", "key", "bits", "n", "prefix"), "reps")
+    reps = written(sets.join(least, ["fp", "key"], "left_semi").select("fp", "key", "bits", "n", "parity", "prefix"), "reps")
     return sets, simhash.leaders(sets.select("doc_id", "key", "fp"), links(reps, docs))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomspan.llm import components, decontaminate, html_extract, lang_id, near_copies, ordinal_quality, packing, pii, quality_rules, simhash, suffix_dedup, url_filter
+from loomspan.llm import components, decontaminate, html_extract, lang_id, near_copies, ordinal_quality, packing, pii, quality_rules, shared, simhash, suffix_dedup, url_filter
 
 rng = random.Random(5)
 WORDS = ["the", "and", "rain", "Öl", "x1", "banana", "zz.", "to", "ver", "keit"]
@@ -178,6 +179,51 @@ def test_near_copies(spark, docs, chunk, monkeypatch):
         assert {r["doc_id"] for r in corpus_pipeline.deduplicated(spark, df, "").collect()} == {ids[k] for k in set(root)}
 
 
+def test_parities_bound_the_difference():
+    gen = np.random.default_rng(4)
+    for n, m, same in [(0, 0, 0), (0, 70, 0), (1, 1, 1), (64, 65, 60), (700, 700, 640), (700, 3000, 650), (5000, 5000, 5000)]:
+        both, a, b = (gen.integers(0, 1 << 63, k, np.uint64) for k in (same, n - same, m - same))
+        far = near_copies.differing(near_copies.parities(np.concatenate([both, a])), near_copies.parities(np.concatenate([b, both])))
+        assert far <= n + m - 2 * same and far % 2 == (n + m) % 2
+    a, b = (near_copies.parities(gen.integers(0, 1 << 63, 700, np.uint64)) for _ in range(2))
+    assert 9 * near_copies.differing(a, b) > 1400  # texts with nothing in common are told apart
+
+
+def test_unlike_texts_are_not_moved(spark, monkeypatch):
+    """Texts that share a passage only meet in buckets, but none of their pairs is confirmed on the texts."""
+    gen = random.Random(3)
+    passages = [" ".join(f"p{k}" for k in range(30 * g, 30 * g + 30)) for g in range(4)]  # of ten texts each, so not frequent
+    rows = [(i, " ".join(f"w{gen.randint(0, 10**6)}" for _ in range(200)) + " " + passages[i % 4]) for i in range(40)]
+    rows += [(40, rows[7][1] + " end")]
+    held, write = {}, near_copies.written
+
+    def kept(df, name):
+        held.setdefault(name, []).append(write(df, name))
+        return held[name][-1]
+
+    monkeypatch.setattr(near_copies, "written", kept)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i == 40 else i for i in range(41)}
+    assert sum(t.count() for t in held["pairs"]) > 20  # they do meet
+    assert sum(t.count() for t in held["within_reach"]) == 1
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" "))}
+
+    before, setting = files(), spark.conf.get(shared._CLEANUP)
+    table = shared.written(spark.range(1000).repartition(7, "id"), "some")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 1000
+    assert spark.conf.get(shared._CLEANUP) == setting
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_links_with_hot_buckets(spark, chunk):
     gen = np.random.default_rng(2)
