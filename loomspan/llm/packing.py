@@ -31,8 +31,8 @@ from loomspan.llm.shared import written
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks and pre-tokens that a worker keeps, of each; workers live on after their stage.
-_MOST = 200_000
+#: Chunks and pre-tokens that a worker keeps, of each, within a task; workers live on after their stage.
+_MOST = 400_000
 #: Marks that, after letters, are a pre-token of their own.
 _TAILS = ".,;:!?#$%&*|"
 #: A blank that blanks or the end follow: only then does a blank not begin a token.
@@ -59,6 +59,7 @@ class Encoder:
         shown = {b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}  # bytes that stand for themselves
         rest = iter(sorted(set(plain) - {chr(b) for b in shown}))
         self.letters = {b: chr(b) if b in shown else next(rest) for b in range(256)}
+        self.blank = self.letters[ord(" ")]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -67,8 +68,8 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _part(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        return array("I", [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        """Ids of one pre-token, given in the letters that stand for its bytes."""
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         """Ids of chunks that follow a blank."""
@@ -82,7 +83,7 @@ class Encoder:
             if core.isalpha():
                 ids = words.get(core)
                 if ids is None:
-                    ids = words[core] = self._part(" " + core)
+                    ids = words[core] = self._part(self.blank + (core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)))
                 if core != c:
                     tail = c[len(core) :]
                     if tail not in tails:
@@ -95,6 +96,9 @@ class Encoder:
             part = rest[at : at + 4096]
             known.update(zip(part, self._ids([" " + c for c in part]), strict=True))
 
+    def forget(self) -> None:
+        self.chunks, self.words, self.tails = {}, {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _LOOSE.search(t) or self.marks.search(t) else t.split(" ") for t in texts]
         if len(self.chunks) > _MOST:
@@ -141,6 +145,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, wit
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 arrays = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(raw, pa.binary())] if with_ids else []), names=names)
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, number long" + ", ids binary" * with_ids

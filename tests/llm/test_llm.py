@@ -290,6 +290,20 @@ def test_encoder_ids():
     assert e.encode(odd) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_encoder_keeps_what_it_met(monkeypatch):
+    e = packing.Encoder(packing.TOKENIZER)
+    asked, part = [], e._part
+    monkeypatch.setattr(e, "_part", lambda text: asked.append(text) or part(text))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters[:13])  # 228,488 words
+    many += " Öl äöü, naïve."
+    first = e.encode([many])
+    assert e.encode([many]) == first and len(asked) == len(set(asked)) > 220_000
+    assert first == [np.array(e.tokenizer.encode(many, add_special_tokens=False).ids, "<u4").tobytes()]
+    e.forget()
+    assert not e.chunks and not e.words and e.encode(["a b"]) == [np.array(e.tokenizer.encode("a b", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_pii(spark, none):
     texts = [None, "", "a@b.c_d@e.f x@y a.b@c.d-e.f.g. é@b.cc", "1.2.3.4.5.6.7.8 256.1.1.1 0000000000001.2.3.4", "4111 1111 1111 1111 x4111111111111111 4111111111111112", "+1 (559) 555-3817%%% ++12345678901 +1((( +49.30.123456-7", "𝒳 é a@b.co " * 150, "1" * 3000 + "." + "a" * 3000 + "@"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("m_ip", F.lit(1)).withColumn("has_digit", F.lit(1))
