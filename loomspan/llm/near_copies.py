@@ -38,6 +38,9 @@ LEAST = (4, 5)
 SAMPLE = 100_000
 FREQUENT = 16
 MOST_FREQUENT = 100_000
+#: Hashes that a task sorts at once, and the bits that tell their parts.
+BLOCK = 1 << 18
+PART_BITS = 12
 #: A list of so many large buckets or fewer is broadcast.
 MOST_LARGE = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -71,21 +74,59 @@ def alike(a: set, b: set) -> bool:
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur often in a sample of documents, sorted, and how often."""
+    """Shingles that occur often in a sample of documents, sorted, and how often. Nearly all occur once, so a hash table of them took
+    hundreds of MB a task; they move as blocks of hashes by their highest bits, and a task counts one part at a time."""
     every = -(-docs.count() // SAMPLE)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(t).view(np.int64))], names=["token"])
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, every))) == 0).select("text").mapInArrow(hashed, "token long")
-    top = written(part.groupBy("token").count().where(F.col("count") >= FREQUENT), "frequent").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+            for at in range(0, b.num_rows, 256):
+                for t in b.column(0).slice(at, 256).to_pylist():
+                    held.append(hashes(t))
+                    size += len(held[-1])
+                    if size >= BLOCK:
+                        yield _parted(held)
+                        held, size = [], 0
+        if size:
+            yield _parted(held)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for p, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p != part and held:
+                    yield _often(held)
+                    held = []
+                part = p
+                held.append(tokens)
+        if held:
+            yield _often(held)
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, every))) == 0).select("text").mapInArrow(blocks, "part int, tokens binary")
+    part = part.repartition("part").sortWithinPartitions("part").mapInArrow(counted, "token long, count long")
+    top = written(part, "frequent").orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
     token, n = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
     by = np.argsort(token)
     return token[by], n[by]
 
 
+def _parted(held: list[np.ndarray]) -> pa.RecordBatch:
+    """The hashes of several texts as a block for each part that has any."""
+    token = np.sort(np.concatenate(held))
+    start = np.searchsorted(token, np.arange(1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS))
+    stop = np.append(start[1:], len(token))
+    some = np.flatnonzero(stop > start)
+    tokens = [token[a:b].tobytes() for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(tokens, pa.binary())], names=["part", "tokens"])
+
+
+def _often(held: list[bytes]) -> pa.RecordBatch:
+    """The hashes in FREQUENT texts or more, of all blocks of a part."""
+    token, n = np.unique(np.frombuffer(b"".join(held), np.int64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(token[n >= FREQUENT]), pa.array(n[n >= FREQUENT], pa.int64())], names=["token", "count"])
+
+
 def ordered(h: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """h in the order that all documents share: frequent shingles last."""
     token, n = often

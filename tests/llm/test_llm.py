@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,6 +209,27 @@ def test_unlike_texts_are_not_moved(spark, monkeypatch):
     assert sum(t.count() for t in held["within_reach"]) == 1
 
 
+def test_frequent_shingles_move_in_blocks(spark, monkeypatch):
+    """The same counts as one by one, but no row for each of the shingles, which nearly all occur once."""
+    gen = random.Random(5)
+    usual = [" ".join(f"u{k}" for k in range(9 * g, 9 * g + 9)) for g in range(3)]
+    rows = [(i, " ".join(f"w{gen.randint(0, 10**7)}" for _ in range(1500)) + " " + usual[i % 3 if i < 50 else 0]) for i in range(60)]
+    rows += [(60, None), (61, " "), *((62 + k, "Few words") for k in range(near_copies.FREQUENT))]
+    n = Counter(h for _, t in rows for h in near_copies.hashes(t).tolist())
+    monkeypatch.setattr(near_copies, "BLOCK", 20_000)
+    spark.sparkContext.setJobGroup("frequent", "")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token, often = near_copies.frequent(df)
+    assert dict(zip(token.tolist(), often.tolist(), strict=True)) == {h: k for h, k in n.items() if k >= near_copies.FREQUENT}
+    assert list(token) == sorted(token) and len(token) > 10
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("frequent") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 0 < moved < len(n) / 3
+    assert near_copies.frequent(df.limit(0))[0].size == 0
+
+
 def test_written_leaves_no_shuffle_files(spark):
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
