@@ -548,6 +548,15 @@ def test_urls(url, host, path, rule):
     assert url_filter.matching(host, path)[0] == rule
 
 
+def test_url_rule_verdicts(spark):
+    """The contract's word of every rule, whatever the model says of the url."""
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {domain + prefix: verdict for verdict, domain, prefix in url_filter.RULES} == want
+    urls = ["http://x.com/en/1", "http://www.example.com/en/71", "http://casino-bets.net/de/1", "http://example.net/de/8/a", "http://example.net/de/7", "http://library.org/es/2"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [(r["rule"], r["verdict"]) for r in url_filter.url_filter(df).orderBy("page_id").collect()] == [(k, want[k]) for k in ("com/en/", "example.com/en/7", "net/de/", "example.net/de/8", "net/de/", "org/es/")]
+
+
 def test_url_model(spark):
     w = url_filter.fit()
     table = url_filter.labelled_urls()
