@@ -227,3 +227,11 @@ def test_histograms_of_sparse_and_nanopore_records(spark):
     got = {(r["metric"], r["bucket"]): r["n"] for r in inspect.histograms(df).collect()}
     assert got[("channel", "a")] == 1 and got[("n_percent", "25")] == 1 and got[("intron", "2")] == 1 and got[("splices", "1")] == 1 and got[("cigar_bases", "M")] == 7
     assert not any(m in ("mate", "tag") for m, _ in got)
+
+
+def test_calmd_of_records_that_share_an_id(spark):
+    """Two records with one id over the same tile, and over tiles of one number on two chromosomes, keep their own bases."""
+    genome = spark.createDataFrame([("c1", 0, "A" * 64), ("c2", 0, "C" * 64)], "chrom string, bin long, seq string")
+    rows = [(1, "c1", 5, "4M", "AAAA"), (1, "c1", 7, "4M", "AACA"), (1, "c2", 5, "4M", "CCGG")]
+    lifted = spark.createDataFrame(rows, "aln_id long, chrom string, g_start long, g_cigar string, seq string")
+    assert sorted((r["md"], r["nm"]) for r in transform.calmd(lifted, genome).collect()) == [("2A1", 1), ("2C0C0", 2), ("4", 0)]
