@@ -235,3 +235,16 @@ def test_calmd_of_records_that_share_an_id(spark):
     rows = [(1, "c1", 5, "4M", "AAAA"), (1, "c1", 7, "4M", "AACA"), (1, "c2", 5, "4M", "CCGG")]
     lifted = spark.createDataFrame(rows, "aln_id long, chrom string, g_start long, g_cigar string, seq string")
     assert sorted((r["md"], r["nm"]) for r in transform.calmd(lifted, genome).collect()) == [("2A1", 1), ("2C0C0", 2), ("4", 0)]
+
+
+def test_a_large_annotation_is_not_replicated(spark):
+    """Whatever the optimiser takes for its size, a table beyond the bound is no broadcast, as the driver would hold it whole."""
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    lifted = spark.createDataFrame([(1, "c1", 12, "4M", 0, 60, 1, "S0")], "aln_id long, chrom string, g_start long, g_cigar string, flag int, mapq int, nh int, sample string")
+    exons = lambda n: spark.range(n).selectExpr("concat('G', id) AS gene_id", "concat('T', id) AS tx_id", "'c1' AS chrom", "'+' AS strand", "id * 10 AS ex_start", "id * 10 + 5 AS ex_end")
+    regions = lambda n: exons(n).selectExpr("chrom", "ex_start AS bed_start", "ex_end AS bed_end")
+    for made, at in ((lambda n: intervals.assign_genes(lifted, exons(n)), "_feature"), (lambda n: transform.filter_regions(lifted, regions(n)), "bed_start")):
+        big = shown(made(60_000))
+        assert "strategy=merge" in big, at
+        assert "strategy=broadcast" in shown(made(100)), at
+    assert made(60_000).count() == 1 and intervals.count_genes(intervals.assign_genes(lifted, exons(60_000))).count() == 1
