@@ -248,3 +248,16 @@ def test_a_large_annotation_is_not_replicated(spark):
         assert "strategy=merge" in big, at
         assert "strategy=broadcast" in shown(made(100)), at
     assert made(60_000).count() == 1 and intervals.count_genes(intervals.assign_genes(lifted, exons(60_000))).count() == 1
+
+
+def test_bam_header_from_a_table(spark):
+    """A header in a table is not collected: a file lists the sequences that its records and mates lie on, and no others."""
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
+    rows = [("a", 1, "c7", 3, 9, "3M", "c9", 5, 0, "ACn", "!I~"), ("b", 1, "c7", 4, 9, "2M", "=", 6, 0, "GT", None), ("c", 0, "absent", 4, 9, None, None, None, None, None, None), ("d", 1, None, -1, 0, None, "absent", 1, 0, "A", "5")]
+    header = spark.range(100_000).selectExpr("concat('c', id) AS name", "int(id + 1) AS length")
+    files = bam.encode(spark.createDataFrame(rows, schema).coalesce(1), header)
+    held = [b"".join(bam.inflate(bytes(r["content"]))) for r in files.collect()]
+    assert all(len(raw) < 1000 for raw in held) and any(b"@SQ\tSN:c9\tLN:10\n" in raw for raw in held)
+    got = {r["qname"]: tuple(r)[2:11] for r in bam.decode(files).drop("tags").collect()}
+    assert got == {"a": ("c7", 3, 9, "3M", "c9", 5, 0, "ACN", "!I~"), "b": ("c7", 4, 9, "2M", "c7", 6, 0, "GT", None), "c": (None, 4, 9, None, None, -1, 0, None, None), "d": (None, -1, 0, None, None, 1, 0, "A", "5")}
+    assert bam.quickcheck(files.selectExpr("'p' AS path", "content")).where("NOT ok").count() == 0
