@@ -261,3 +261,15 @@ def test_bam_header_from_a_table(spark):
     got = {r["qname"]: tuple(r)[2:11] for r in bam.decode(files).drop("tags").collect()}
     assert got == {"a": ("c7", 3, 9, "3M", "c9", 5, 0, "ACN", "!I~"), "b": ("c7", 4, 9, "2M", "c7", 6, 0, "GT", None), "c": (None, 4, 9, None, None, -1, 0, None, None), "d": (None, -1, 0, None, None, 1, 0, "A", "5")}
     assert bam.quickcheck(files.selectExpr("'p' AS path", "content")).where("NOT ok").count() == 0
+
+
+def test_text_is_split_once(spark):
+    """Neither format evaluates its split, its patterns or its tags again for each column; tags are told from fields that look alike."""
+    line = "\t".join(["q", "0", "NH:i:9", "4", "9", "3M", "*", "0", "0", "ACG", "*", "RG:Z:", "NH:i:3", "XX:Z:HI:i:4"])
+    got = text.parse_sam(spark.createDataFrame([(line,), (line.rsplit("\t", 3)[0],)], "value string"))
+    assert [(r["rname"], r["nh"], r["hi"], r["rg"], len(r["tags"])) for r in got.collect()] == [("NH:i:9", 3, None, "", 3), ("NH:i:9", None, None, None, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    gtf = text.parse_gtf(spark.createDataFrame([('c\tx\texon\t5\t9\t.\t+\t.\tgene_id "g"; transcript_id "t";',)], "value string"))
+    plan = gtf._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract_all") == 2
