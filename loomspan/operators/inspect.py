@@ -62,7 +62,10 @@ def histograms(reads: DataFrame) -> DataFrame:
     fixed += [one("tag", F.when(F.col(c).isNotNull(), c.upper())) for c in ("nh", "hi", "rg") if c in reads.columns]
     fixed += [one("mate", F.expr("CASE WHEN (flag & 1) = 0 THEN NULL WHEN (flag & 192) = 64 THEN 'first' WHEN (flag & 192) = 128 THEN 'second' ELSE 'other' END"))]
     fixed += [one(c, F.col(c)) for c in ("end_reason", "channel", "polya") if c in reads.columns]
-    df = reads.withColumn("_c", cigar.parse("cigar")).select(F.inline(F.concat(F.array(*fixed), F.coalesce(ops, F.array().cast("array<struct<metric:string,bucket:string,n:bigint>>")))))
+    from loomspan.operators.lift import made_once
+
+    used = [c for c in ("seq", "mapq", "cigar", "nh", "hi", "rg", "flag", "end_reason", "channel", "polya") if c in reads.columns]
+    df = made_once(made_once(reads, [], used).withColumn("_c", cigar.parse("cigar")), used, ["_c"]).select(F.inline(F.concat(F.array(*fixed), F.coalesce(ops, F.array().cast("array<struct<metric:string,bucket:string,n:bigint>>")))))
     return df.where("metric IS NOT NULL AND bucket IS NOT NULL").groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
 
 

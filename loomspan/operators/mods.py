@@ -20,6 +20,7 @@ def with_mods(reads: DataFrame, mm: str = "mm", ml: str = "ml", out: str = "mods
     """Adds out: code to array of likelihoods. An entry such as C+mh,5,2 has one likelihood for each code and place, codes
     changing fastest; entries follow each other in ml. Equal codes of several entries (both strands) are joined. Without mm
     or ml the map is null; likelihoods that ml lacks are left out."""
+    reads = made_once(reads, [], reads.columns)  # what makes mm and ml is not repeated in every use of them
     df = reads.withColumn("_en", F.expr(f"CASE WHEN {ml} IS NOT NULL THEN transform(filter(split({mm}, ';'), e -> e <> ''), e -> split(e, ',')) END"))
     codes = r"transform(_en, e -> regexp_extract(e[0], '^[A-Za-z][+-]([a-z]+|[0-9]+)', 1))"
     df = df.withColumn("_cd", F.expr(f"transform({codes}, c -> CASE WHEN c RLIKE '^[a-z]' THEN split(c, '') WHEN c = '' THEN array('') ELSE array(c) END)"))

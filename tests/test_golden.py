@@ -273,3 +273,11 @@ def test_text_is_split_once(spark):
     gtf = text.parse_gtf(spark.createDataFrame([('c\tx\texon\t5\t9\t.\t+\t.\tgene_id "g"; transcript_id "t";',)], "value string"))
     plan = gtf._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("regexp_extract_all") == 2
+
+
+def test_made_columns_are_not_made_again(spark):
+    """What makes a column stands once in the plan for each scan of it, however often an operator uses the column."""
+    reads = spark.range(5).selectExpr("id AS aln_id", "'q' AS qname", "cast(id * 64 AS int) AS flag", "9 AS mapq", "'3M' AS cigar", "md5(cast(id AS string)) AS seq", "'III' AS qual")
+    tagged = reads.selectExpr("aln_id", "concat('C+m,', md5(cast(aln_id AS string)), ';') AS mm", "array(1, 2) AS ml")
+    for df, scans in ((transform.recover_tags(reads), 2), (inspect.histograms(reads), 1), (mods.with_mods(tagged), 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == scans
